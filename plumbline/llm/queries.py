@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from plumbline.llm import leakage, spans, tokenizer
+from plumbline.llm import addresses, leakage, spans, tokenizer
 from plumbline.plans.registry import Registry
 from plumbline.session import table
 
 R = Registry()
 
 
+@R.query("p2_found")
+def p2_found(spark, d):
+    return addresses.same_place_pairs(table(spark, d, "projects"))
+
+
 @R.query("p8_ids")
 def p8_ids(spark, d):
     return tokenizer.token_ids(table(spark, d, "documents"))
