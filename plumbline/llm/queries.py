@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import addresses, leakage, spans, tokenizer
+from plumbline.llm import addresses, leakage, names, spans, tokenizer
 from plumbline.plans.registry import Registry
 from plumbline.session import table
 
@@ -14,6 +14,12 @@ def p2_found(spark, d):
     return addresses.same_place_pairs(table(spark, d, "projects"))
 
 
+@R.query("p3_found")
+def p3_found(spark, d):
+    spellings = names.field_spellings(*(table(spark, d, n) for n in ("projects", "passport_property_values", "property_definitions")))
+    return names.same_name_pairs(spellings)
+
+
 @R.query("p8_ids")
 def p8_ids(spark, d):
     return tokenizer.token_ids(table(spark, d, "documents"))
