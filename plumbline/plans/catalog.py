@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.plans import records
+from plumbline.plans import points, records
 
-REGISTRIES = [records.R]
+REGISTRIES = [records.R, points.R]
 
 
 def flagship(spark, d):
-    return records.p1_paths(spark, d)
+    return points.voxel_filtered(spark, d)
