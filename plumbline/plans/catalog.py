@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import points, records
+from plumbline.plans import points, project, records
 
-REGISTRIES = [records.R, points.R]
+REGISTRIES = [records.R, points.R, project.R]
 
 
 def flagship(spark, d):

@@ -31,7 +31,7 @@ class ResourcePath:
     collection: str
     index: int | None = None
     item: str | None = None
-    property: tuple[str, ...] = ()
+    field: tuple[str, ...] = ()
 
     @property
     def wild(self) -> bool:
@@ -79,16 +79,16 @@ def resolve(tables: dict[str, DataFrame], path: str) -> DataFrame:
         rows = table.withColumn("item", F.col(key).cast("string"))
         if p.wild:
             rows = rows.where(F.col("item").rlike(wildcard_regex(p.item)))
-        elif p.item is not None and p.collection == "projects" and p.item in table.columns and not p.property:
+        elif p.item is not None and p.collection == "projects" and p.item in table.columns and not p.field:
             first = items(table, "projects").where("rn = 1")  # a field without an id is that of the first project
             return first.select("item", F.col(p.item).cast("string").alias("value"))
         elif p.item is not None:
             rows = rows.where(F.col("item") == p.item)
     if not p.wild and (p.item is not None or p.index is not None) and not rows.limit(1).count():
         raise PathError(f"{path!r} is not there")
-    if not p.property:
+    if not p.field:
         return rows
-    name = p.property[-1] if p.property[0] == "properties" and len(p.property) > 1 else p.property[0]
+    name = p.field[-1] if p.field[0] == "properties" and len(p.field) > 1 else p.field[0]
     plain = [c for c, t in table.dtypes if t != "binary"]
     if name == "metadata":
         return rows.select("item", F.to_json(F.struct(*plain)).alias("value"))

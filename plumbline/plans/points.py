@@ -188,12 +188,11 @@ def instances_components(spark, d):
     return instances.instances(points(spark, d), 0.15, 2)
 
 
-@R.query("mesh_components", """with recursive f as (select o_orderkey as face, unnest([o_custkey, o_custkey + 1000000 + (o_orderkey % 7)]) as v from orders), e as (select a.face as a, min(b.face) as b from f a join f b using (v) group by a.face),
-    r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b), m as (select a as face, min(b) as root from r group by a), part as (select root, min(v) as part from m join f using (face) group by root)
-    select face, part from m join part using (root)""")
+@R.query("mesh_components", """with recursive f as (select o_orderkey as face, unnest([o_custkey // 3, o_custkey // 2 + 1000000]) as v from orders), e as (select distinct a.v as a, b.v as b from f a join f b using (face)),
+    r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b), m as (select a as v, min(b) as part from r group by a) select face, min(part) as part from f join m using (v) group by face""")
 def mesh_components(spark, d):
     o = table(spark, d, "orders")
-    return instances.mesh_parts(o.select(F.col("o_orderkey").alias("face"), F.array(F.col("o_custkey"), F.col("o_custkey") + 1_000_000 + F.col("o_orderkey") % 7).alias("verts")))
+    return instances.mesh_parts(o.select(F.col("o_orderkey").alias("face"), F.expr("array(o_custkey div 3, o_custkey div 2 + 1000000)").alias("verts")))
 
 
 @R.query("frame_pairs", f"""with {PTS}, f as (select *, x / sqrt(x*x+y*y+z*z) as vx, y / sqrt(x*x+y*y+z*z) as vy, z / sqrt(x*x+y*y+z*z) as vz from p)
