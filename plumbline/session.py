@@ -65,3 +65,9 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 
 def blank_to_null(c: Column) -> Column:
     return F.when(F.length(F.trim(c)) > 0, c)
+
+
+def parts(df: DataFrame) -> int:
+    """How many tasks a shuffle of this session makes. Python-heavy steps name it in their repartition, as adaptive execution
+    merges partitions by bytes and would leave a little text that is costly to work on to one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
