@@ -238,7 +238,7 @@ def _window_codes(batches):
 def shared_windows(documents: DataFrame) -> DataFrame:
     """(doc_id, first, last): runs of start positions of shared windows, one row per piece and run."""
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= LENGTH)
-    found = docs.mapInArrow(_anchors, "anchor long, doc_id long")
+    found = stage(docs.mapInArrow(_anchors, "anchor long, doc_id long"))  # read twice; hashing the texts twice would cost more
     several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
     wanted = found.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     pieces = stage(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_pieces, _PIECE).withColumn("code", F.xxhash64("piece", F.lit(7))))
