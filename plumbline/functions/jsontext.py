@@ -8,6 +8,7 @@ from json.decoder import scanstring
 
 _BLANK = re.compile(r"[ \t\n\r]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_HALF = re.compile("[\ud800-\udfff]")
 _WORDS = {"true": True, "false": False, "null": None}
 
 
@@ -106,7 +107,7 @@ def kind(value) -> str | None:
 
 def clean(text: str) -> str:
     """Half surrogates, which an escape can name but UTF-8 can't hold, become U+FFFD."""
-    return text.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+    return _HALF.sub("\ufffd", text)
 
 
 def scalar_text(value) -> str:
