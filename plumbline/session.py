@@ -67,7 +67,9 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.length(F.trim(c)) > 0, c)
 
 
-def parts(df: DataFrame) -> int:
-    """How many tasks a shuffle of this session makes. Python-heavy steps name it in their repartition, as adaptive execution
-    merges partitions by bytes and would leave a little text that is costly to work on to one task."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` split by columns into as many tasks as a shuffle of this session makes, for steps that cost much per byte:
+    adaptive execution merges partitions by bytes and would leave a little text that is costly to work on to one task.
+    The number keeps it from that, and hashing the columns once more keeps the step from being merged into a shuffle
+    by the same columns before it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
