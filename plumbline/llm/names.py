@@ -9,7 +9,7 @@ share a word, or have words that are such neighbours, come together and are comp
    short forms) are dictionaries; they are matched with typos and cut short with a dot. Spellings with equal slots are
    one form, whatever their number.
 2. Sharding: two words within two edits have, if they are long enough, fewer than two of them in their first or in their
-   last five letters; so the shards are these five letters with one left out. A word is in at most twelve shards and each
+   last five letters; so the shards are these five letters with none or one left out. A word is in at most twelve shards and each
    of its neighbours is in at least one of the same.
 3. A word that has a commoner neighbour follows it; words that end at the same one are a group. In a group, forms
    from the most to the least telling are added to the one name they fit; a form that fits two different names is
@@ -188,35 +188,37 @@ class Trie:
             node[""] = w
 
     def near(self, word: str, most: int) -> list[str]:
-        """All words within `most` edits (insert, delete, replace), by running a Levenshtein automaton along the trie: its
-        states, sets of (letters read, edits made), are the bits of one number per count of edits."""
+        """All words within `most` edits (insert, delete, replace, swap of neighbours), by running a Levenshtein automaton along
+        the trie. Its states, pairs of letters read and edits made, are the bits of one number per count of edits; a second
+        number per count holds the states half-way through a swap."""
         n = len(word)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         everything, accept = (1 << (n + 1)) - 1, 1 << n
-        start = tuple((1 << (e + 1)) - 1 & everything for e in range(most + 1))
+        start = tuple((1 << (e + 1)) - 1 & everything for e in range(most + 1)), (0,) * (most + 1)
         found, stack = [], [(self.root, start)]
         while stack:
-            node, state = stack.pop()
+            node, (state, swaps) = stack.pop()
             for c, child in node.items():
                 if c == "":
                     if any(r & accept for r in state):
                         found.append(child)
                     continue
                 mask = masks.get(c, 0)
-                below, new, alive = 0, [], 0
-                new_below = 0
+                new, half = [], []
+                below = new_below = alive = 0
                 for e, r in enumerate(state):
-                    x = (r & mask) << 1
+                    x = (r & mask) << 1 | (swaps[e] & mask) << 2
                     if e:  # insert, replace; delete
                         x |= below | below << 1 | new_below << 1
                     x &= everything
                     new.append(x)
-                    alive |= x
+                    half.append(below & mask >> 1 if e else 0)  # the next letter came first
+                    alive |= x | half[-1]
                     below, new_below = r, x
                 if alive:
-                    stack.append((child, tuple(new)))
+                    stack.append((child, (tuple(new), tuple(half))))
         return found
 
 
@@ -224,7 +226,7 @@ def shard_keys(word: str) -> set[str]:
     """The first and the last five letters, each with none or one left out."""
     out = set()
     for side, part in (("<", word[:5]), (">", word[-5:])):
-        out |= {side + part[:i] + part[i + 1 :] for i in range(len(part))}
+        out |= {side + part, *(side + part[:i] + part[i + 1 :] for i in range(len(part)))}
     return out
 
 
