@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.words import distance, fold
 from plumbline.operators.components import components
-from plumbline.session import stage
+from plumbline.session import spread, stage
 
 #: Legal forms, in folded spelling without dots and slashes.
 LEGAL = {
@@ -277,9 +277,9 @@ def _join(batches):
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(a, b, edits) of all pairs of different words (column word) that may be one, a > b."""
-    shards = words.select("word").distinct().mapInArrow(_shards, "shard string, word string")
+    shards = spread(words.select("word").distinct(), "word").mapInArrow(_shards, "shard string, word string")
     several = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
-    rows = shards.join(several, "shard", "left_semi").repartition("shard").sortWithinPartitions("shard", "word").select("shard", "word")
+    rows = spread(shards.join(several, "shard", "left_semi"), "shard").sortWithinPartitions("shard", "word").select("shard", "word")
     return rows.mapInArrow(_join, "a string, b string, edits int").distinct()
 
 
@@ -388,7 +388,7 @@ def name_classes(spellings: DataFrame) -> DataFrame:
     """(spelling, name) of every spelling (column spelling) that a rare word tells; equal names are one entity."""
     s = spellings.select("spelling").where("spelling is not null and trim(spelling) <> ''").distinct()
     slots = ["kind", "first", "second", "trade", "town", "legal", "given", "initials"]
-    r = stage(s.mapInArrow(_read, "spelling string, " + NAME).withColumn("form", F.concat_ws("|", *slots)))
+    r = stage(spread(s, "spelling").mapInArrow(_read, "spelling string, " + NAME).withColumn("form", F.concat_ws("|", *slots)))
     forms = r.groupBy("form", *slots).agg(F.count("*").alias("n"))
     words = stage(forms.select(F.explode(F.array("first", "second")).alias("word"), "n").where("length(word) > 1").groupBy("word").agg(F.sum("n").alias("n")))
     near = neighbours(words)
@@ -403,7 +403,7 @@ def name_classes(spellings: DataFrame) -> DataFrame:
     # a form with two rare words is put into the group of each; the groups are joined again by the form
     g = forms.select("form", *slots, F.explode(F.array_distinct(F.filter(F.array("first", "second"), lambda w: F.length(w) > 1))).alias("word"), tell.alias("tell"), "n")
     g = g.join(root, g.word == root.node, "left").select(F.coalesce("component", "word").alias("group"), "form", *slots, "tell", "n").distinct()
-    rows = g.repartition("group").sortWithinPartitions("group", F.desc("tell"), F.desc("n"), "form").select("group", "form", *slots)
+    rows = spread(g, "group").sortWithinPartitions("group", F.desc("tell"), F.desc("n"), "form").select("group", "form", *slots)
     named = stage(rows.mapInArrow(_assign, "form string, name string"))
     links = named.join(named.groupBy("form").agg(F.min("name").alias("low")), "form").select(F.col("name").alias("a"), F.col("low").alias("b"))
     one = components(links)
