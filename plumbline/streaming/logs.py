@@ -19,9 +19,11 @@ def without_repeats(log: DataFrame, time: str = "ts", key: tuple[str, ...] = ("e
     return log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(list(key))
 
 
-def stage_activity(log: DataFrame, window: str = "10 minutes", time: str = "ts", stage: str = "event_type", late: str = "1 hour") -> DataFrame:
-    """(start, stage, n, mean) per window, final once the watermark has passed it."""
-    g = log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), stage)
+def stage_activity(log: DataFrame, window: str = "10 minutes", time: str = "ts", stage: str = "event_type", late: str | None = "1 hour") -> DataFrame:
+    """(start, stage, n, mean) per window, final once the watermark has passed it. `late` is None where the stream has a watermark already."""
+    if late is not None:
+        log = log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    g = log.groupBy(F.window(time, window), stage)
     return g.agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), stage, "n", "mean")
 
 
