@@ -26,7 +26,24 @@ def p1_paths(spark, d):
     return t.join(hierarchy.paths(t), "id").select("id", "path", "depth", "root", "entry", "exit", "descendants", "looped", "broken")
 
 
-@R.query("p4_found")
+@R.query("p4_found", """
+    with o as (select distinct series_id, file_id, json_extract_string(payload, '$.node_id') as node, j.key as field, case when j.type = 'VARCHAR' then 'string' when j.type = 'BOOLEAN' then 'boolean' when j.type = 'ARRAY' then 'array'
+            when j.type = 'OBJECT' then 'object' when j.type <> 'NULL' then 'number' end as kind, case when j.type <> 'NULL' then coalesce(try_cast(j.atom as double)::varchar, j.value::varchar) end as v
+        from export_records, json_each(payload) j where json_valid(payload)),
+    f as (select series_id, file_id, row_number() over (partition by series_id order by min(exported_at), file_id) as seq from export_records group by series_id, file_id),
+    k as (select series_id, seq, field, list_sort(list_distinct(list(kind))) as kinds from o join f using (series_id, file_id) group by all),
+    b as (select f.file_id, c.* from (select coalesce(a.series_id, p.series_id) as series_id, coalesce(a.seq, p.seq + 1) as seq, coalesce(a.field, p.field) as field, a.kinds as now, p.kinds as old
+        from k a full join k p on a.series_id = p.series_id and a.seq = p.seq + 1 and a.field = p.field) c join f using (series_id, seq) where seq > 1),
+    x as (select *, old is not null as gone from b where now is null or old is null),
+    p as (select g.series_id, g.seq, g.field as fb, c.field as fa, count(*) as n from x g join x c on g.gone and not c.gone and g.series_id = c.series_id and g.seq = c.seq
+        join f f1 on f1.series_id = g.series_id and f1.seq = g.seq - 1 join f f2 on f2.series_id = g.series_id and f2.seq = g.seq
+        join o o1 on o1.series_id = g.series_id and o1.file_id = f1.file_id and o1.field = g.field and o1.v is not null join o o2 on o2.series_id = g.series_id and o2.file_id = f2.file_id and o2.field = c.field and o2.v is not null and o2.node = o1.node
+        group by all having bool_and(o1.v = o2.v)),
+    r as (select * from (select *, row_number() over (partition by series_id, seq, fb order by n desc, fa) as r1, row_number() over (partition by series_id, seq, fa order by n desc, fb) as r2 from p) where r1 = 1 and r2 = 1)
+    select series_id, file_id, 'retyped' as change_kind, field as field_before, field as field_after from b where len(now) > 0 and len(old) > 0 and now <> old
+    union all select x.series_id, file_id, 'removed', field, '' from x left join r on r.series_id = x.series_id and r.seq = x.seq and r.fb = x.field where gone and r.fb is null
+    union all select x.series_id, file_id, 'added', '', field from x left join r on r.series_id = x.series_id and r.seq = x.seq and r.fa = x.field where not gone and r.fa is null
+    union all select r.series_id, f.file_id, 'renamed', fb, fa from r join f using (series_id, seq)""")
 def p4_found(spark, d):
     return drift.changes(table(spark, d, "export_records")).select("series_id", "file_id", "change_kind", "field_before", "field_after")
 
@@ -36,7 +53,10 @@ def p4_unified(spark, d):
     return drift.unified(table(spark, d, "export_records"))
 
 
-@R.query("p5_found")
+@R.query("p5_found", r"""
+    with b as (select distinct record_id, body from passport_records where json_valid(body)), t as (select record_id, j.fullkey as path, j.value as v from b, json_tree(body) j where j.type = 'OBJECT'),
+    p as (select record_id, regexp_replace(path, '\.properties(\.|$)', '.properties[0]\1', 'g') as path, v from t where regexp_matches(path, '\.properties(\[[0-9]+\])?$'))
+    select distinct record_id, regexp_replace(path, '^\$\.?', '') as node_path, coalesce(json_extract_string(v, '$.guid'), '') as guid from p""")
 def p5_found(spark, d):
     return nested.properties(table(spark, d, "passport_records"))
 
