@@ -86,7 +86,9 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: in
                 break
         if not any_move:
             break
-        first = state.groupBy("c").agg(F.min("node").alias("to"))
+        first = stage(state.groupBy("c").agg(F.min("node").alias("to")))
+        if first.count() == state.count():
+            break  # nodes only changed places; nothing is left to merge
         up = state.join(first, "c").select(F.col("node").alias("c"), "to")
         member = stage(member.join(up, "c").select("node", F.col("to").alias("c")))
         a, b = up.select(F.col("c").alias("src"), F.col("to").alias("s2")), up.select(F.col("c").alias("dst"), F.col("to").alias("d2"))

@@ -55,7 +55,7 @@ def p4_unified(spark, d):
 
 @R.query("p5_found", r"""
     with b as (select distinct record_id, body from passport_records where json_valid(body)), t as (select record_id, j.fullkey as path, j.value as v from b, json_tree(body) j where j.type = 'OBJECT'),
-    p as (select record_id, regexp_replace(path, '\.properties(\.|$)', '.properties[0]\1', 'g') as path, v from t where regexp_matches(path, '\.properties(\[[0-9]+\])?$'))
+    p as (select record_id, regexp_replace(regexp_replace(path, '\.properties(\.|$)', '.properties[0]\1', 'g'), '\.properties(\.|$)', '.properties[0]\1', 'g') as path, v from t where regexp_matches(path, '\.properties(\[[0-9]+\])?$'))
     select distinct record_id, regexp_replace(path, '^\$\.?', '') as node_path, coalesce(json_extract_string(v, '$.guid'), '') as guid from p""")
 def p5_found(spark, d):
     return nested.properties(table(spark, d, "passport_records"))
