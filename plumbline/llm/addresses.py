@@ -8,8 +8,8 @@ alignment of the two token sequences, whose substitution costs know the abbrevia
    have both, so a row with only one of them can be placed.
 2. What is written alike after that is one form, whatever its number of rows. Forms are banded by their house number
    (a token that must agree) and minhashes of the street's q-grams.
-3. In a band each form is compared with the leaders met so far and becomes a leader itself if it matches none, so no
-   pairs within a band are emitted; bands are first worked through in SALTS parts, their leaders then together.
+3. In a band each form is compared with the members of every cluster met so far until one matches, and one link per
+   cluster is emitted, so no pairs of one cluster are; bands are worked through in SALTS parts, a place whole in one.
 4. Verified links make classes (connected components); pairs of projects are read off the classes.
 
 Defined results
@@ -298,24 +298,33 @@ def hash_text(s: str) -> int:
     return h
 
 
-def _lead(batches):
-    """Rows sorted by (band, salt), those without a place last: links of each form to the leaders of its band that it matches,
-    and new leaders. A form without a place only gets weak links to placed ones."""
-    here, leaders = None, []
-    names = ["band", "form", "name", "kind", "number", "place", "street", "leader", "weak"]
+def _link(batches):
+    """Rows sorted by (band, salt), those without a place last: one link of each form to every cluster of its band that has a
+    member it matches, whichever member that is; the clusters it links become one. A form without a place gets weak links
+    to placed clusters, and joins others without a place in the first salt only, as it is sent to all of them."""
+    here, by_place = None, {}
     for batch in batches:
         out: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:2] != here:
-                here, leaders = row[:2], []
-            form = row[3], row[4], row[5], row[6], row[7]
-            links = [(x, form[3] == "" != other[3]) for x, other in leaders if same_place(form, other)]
-            out += [(row[0], *row[2:], *x) for x in links]
-            if all(weak for _, weak in links):
-                leaders.append((row[2], form))
-                out.append((row[0], *row[2:], None, None))
-        cols = list(zip(*out)) or [[]] * 9
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:8]), pa.array(cols[8], pa.bool_())], names=names)
+        for band, salt, id_, *f in zip(*(c.to_pylist() for c in batch.columns)):
+            if (band, salt) != here:
+                here, by_place = (band, salt), {}
+            form, place = tuple(f), f[3]
+            mine = [[(id_, form)]]
+            # digits must agree; those without a place come last
+            for other in [place] if place[:1].isdigit() else list(by_place):
+                if place and other[:1].isdigit() != place[0].isdigit():
+                    continue
+                for cluster in by_place.get(other, []):
+                    hit = next((x for x, g in cluster if same_place(form, g)), None)
+                    if hit is not None:
+                        out.append((id_, hit, place == "" != other))
+                        if other == place:
+                            mine.append(cluster)
+            if place or not salt:
+                kept = [c for c in by_place.get(place, []) if not any(c is m for m in mine)]
+                by_place[place] = [*kept, [x for m in mine[1:] + mine[:1] for x in m]]
+        a, b, weak = zip(*out) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(weak, pa.bool_())], names=["a", "b", "weak"])
 
 
 _BAND = "band long, form string, name string, kind string, number string, place string, street string"
@@ -326,12 +335,12 @@ def place_classes(projects: DataFrame) -> DataFrame:
     r = stage(read(projects).withColumn("form", F.concat_ws("|", "name", "kind", "number", "place")))
     forms = r.select("form", "name", "kind", "number", "place").distinct()
     bands = stage(spread(forms, "form").mapInArrow(_bands, _BAND))
-    several = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    bands = bands.join(several, "band", "left_semi")
-    sorted_ = lambda df, salt: spread(df.withColumn("salt", salt), "band", "salt").sortWithinPartitions("band", "salt", F.col("place") == "", "form").select("band", "salt", "form", "name", "kind", "number", "place", "street")
-    first = stage(sorted_(bands, F.pmod(F.xxhash64("form"), F.lit(SALTS))).mapInArrow(_lead, _BAND + ", leader string, weak boolean"))
-    second = sorted_(first.where("leader is null").drop("leader", "weak"), F.lit(0).cast("long")).mapInArrow(_lead, _BAND + ", leader string, weak boolean")
-    links = stage(first.unionByName(second).where("leader is not null").select(F.col("form").alias("a"), F.col("leader").alias("b"), "weak"))
+    # a place is in one salt of its band, all places told by words in the first; forms without a place go to every salt there is
+    bands = bands.withColumn("salt", F.when(F.col("place").rlike("^[0-9]"), F.pmod(F.xxhash64("place"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    several = bands.groupBy("band").agg(F.count("*").alias("n"), F.array_union(F.array(F.lit(0).cast("long")), F.collect_set("salt")).alias("salts")).where("n > 1").select("band", "salts")
+    bands = bands.join(several, "band").withColumn("salt", F.explode(F.when(F.col("place") == "", F.col("salts")).otherwise(F.array("salt"))))
+    rows = spread(bands, "band", "salt").sortWithinPartitions("band", "salt", F.col("place") == "", "form").select("band", "salt", "form", "name", "kind", "number", "place", "street")
+    links = stage(rows.mapInArrow(_link, "a string, b string, weak boolean").distinct())
     c = components(links.where("not weak"))
     r = stage(r.join(c, r.form == c.node, "left").select("address", "form", F.coalesce("component", "form").alias("class")))
     # a class without a place joins the one placed class it matches; if there are several, it can't be told

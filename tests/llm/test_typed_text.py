@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import addresses, names, words
@@ -82,6 +83,19 @@ def test_pairs_of_projects(spark):
     assert addresses.same_place_pairs(df.limit(0)).count() == 0
 
 
+def test_typos_of_typos_at_one_place(spark):
+    """A form that matches only a follower of its band, not the first, is of that place too."""
+    def forms(names):
+        rows = [{"form": f"{n}|vej|3|8000", "name": n, "kind": "vej", "number": "3", "place": "8000", "street": n + "vej"} for n in names]
+        return [pa.RecordBatch.from_pylist([{"band": 1, "salt": 0, **r} for r in rows])]
+
+    got = {(r["a"].split("|")[0], r["b"].split("|")[0]) for b in addresses._link(forms(["veste", "vester", "vster"])) for r in b.to_pylist()}
+    assert got == {("vester", "veste"), ("vster", "vester")}
+    # a form between two clusters makes them one, and a later one only needs one link to it
+    got = [(r["a"].split("|")[0], r["b"].split("|")[0]) for b in addresses._link(forms(["veste", "vster", "vester", "vesster"])) for r in b.to_pylist()]
+    assert sorted(got) == [("vesster", "vester"), ("vester", "veste"), ("vester", "vster")]
+
+
 NAMES = [
     ["Skulmadit Byggemarked Ltd", "skulmadit byggem. limited", "Byggemarked Skulmadit Ltd", "Skulmdait Byggemarked LTD ", "SKULMADIT LTD"],
     ["Skulmadit Ziegelei GmbH", "Skulmadit Zieg. G.m.b.H."],
