@@ -12,8 +12,9 @@ share a word, or have words that are such neighbours, come together and are comp
    last five letters; so the shards are these five letters with none or one left out. A word is in at most twelve shards and each
    of its neighbours is in at least one of the same.
 3. A word that has a commoner neighbour follows it; words that end at the same one are a group. In a group, forms
-   from the most to the least telling are added to the one name they fit; a form that fits two different names is
-   left alone. Only the names met so far are held, never a group's rows.
+   from the most to the least telling are added to the one name they fit, whichever accepted spelling of its words they
+   are close to; a form that fits two names joins them if nothing else tells them apart, and is left alone if something
+   does. Only the names met so far are held, with the spellings of their words, never a group's rows.
 
 Defined results
 * null and blank spellings are left out; equal spellings are one, whichever field they stand in;
@@ -23,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+import copy
 import re
 
 import pyarrow as pa
@@ -295,91 +297,137 @@ def _read(batches):
                                          names=["spelling", "kind", "first", "second", "trade", "town", "legal", "given", "initials"])
 
 
+def _close_any(a: set[str], b: set[str]) -> bool:
+    """Whether two words, each told by the spellings met of it, may be one."""
+    return not a.isdisjoint(b) or any(_close(x, y) < 9 for x in a for y in b)
+
+
+def _pairs(a: list[set[str]], b: list[set[str]]) -> list[tuple[int, int]]:
+    """The most words of a that each have their own close word in b, as index pairs (augmenting paths)."""
+    near = [[j for j, y in enumerate(b) if _close_any(x, y)] for x in a]
+    of: dict[int, int] = {}
+
+    def place(i: int, seen: set[int]) -> bool:
+        for j in near[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in of or place(of[j], seen):
+                    of[j] = i
+                    return True
+        return False
+
+    for i in range(len(a)):
+        place(i, set())
+    return [(i, j) for j, i in of.items()]
+
+
 class Name:
-    """A name met in a group: the slots known of it so far."""
+    """A name met in a group: the slots known of it so far, its words in all spellings accepted of them."""
 
     def __init__(self, id_: str, f: tuple[str, ...]):
-        self.id, self.slots = id_, list(f)
+        self.id = id_
+        self.kind, first, second, self.trade, town, self.legal, self.given, self.initials = f
+        self.who = [{w} for w in [first, *second.split()] if len(w) > 1]
+        self.lone = {w for w in second.split() if len(w) == 1}
+        self.town = [{w} for w in town.split()]
+
+    def match(self, o: Name) -> tuple[list, list] | None:
+        """Index pairs of words and of towns that are one, or None if a word contradicts."""
+        who, town = _pairs(self.who, o.who), _pairs(self.town, o.town)
+        if len(who) < min(len(self.who), len(o.who)) or len(town) < min(len(self.town), len(o.town)):
+            return None
+        side = self if len(self.who) > len(o.who) else o
+        met = {p[side is o] for p in who}
+        left = [w for i, w in enumerate(side.who) if i not in met]
+        lone = self.lone | o.lone
+        if left:  # a partner more: its initial may stand for it, or nothing if the trade is the same
+            if any(not any(x.startswith(c) for w in left for x in w) for c in lone):
+                return None
+            if len(left) > len(lone) and (not self.trade or self.trade != o.trade):
+                return None
+        elif self.lone and o.lone and self.lone.isdisjoint(o.lone):
+            return None
+        return who, town
 
-    def fits(self, f: tuple[str, ...]) -> int | None:
+    def fits(self, o: Name) -> int | None:
         """How many slots agree, or None if one contradicts."""
-        kind, first, second, trade, town, legal, given, initials = f
-        mine = self.slots
-        words = {w for w in (first, second) if len(w) > 1}
-        own = {w for w in (mine[1], mine[2]) if len(w) > 1}
-        if kind and mine[0] and kind != mine[0]:
+        if self.kind and o.kind and self.kind != o.kind:
             return None
-        person = "person" in (kind, mine[0])
-        if person and (trade or town or second or mine[2] or mine[3] or mine[4]):
+        if "person" in (self.kind, o.kind) and any(x.trade or x.town or x.lone or len(x.who) > 1 for x in (self, o)):
             return None
         score = 0
-        # rare words in any order: each word of the shorter side needs its own on the other
-        few, many = (words, own) if len(words) <= len(own) else (own, words)
-        left = set(many)
-        for w in few:
-            hit = min(left, key=lambda v: _close(w, v), default=None)
-            if hit is None or _close(w, hit) == 9:
-                return None
-            left.discard(hit)
-            score += 2
-        if left:  # a partner more: its initial may stand for it, or nothing if the trade is the same
-            lone = second if len(second) == 1 else mine[2] if len(mine[2]) == 1 else ""
-            if lone and not any(w.startswith(lone) for w in left):
-                return None
-            if not lone and (not trade or trade != mine[3]):
-                return None
-        for a, b, weight in ((trade, mine[3], 2), (legal, mine[5], 1)):
+        for a, b, weight in ((self.trade, o.trade, 2), (self.legal, o.legal, 1)):
             if a and b:
                 if a != b:
                     return None
                 score += weight
-        if town and mine[4]:
-            if _close(town, mine[4]) == 9:
-                return None
-            score += 1
-        if given and mine[6]:
-            if given != mine[6]:
+        initial, other = self.initials[:1], o.initials[:1]
+        if self.given and o.given:
+            if self.given != o.given or initial and other and initial != other:
                 return None
             score += 2
-        elif initials and mine[6] and not given:  # the first initial stands for the given name
-            if initials[0] != mine[6][0] and initials != mine[7]:
-                return None
-            score += 1
-        elif given and mine[7] and not mine[6]:
-            if mine[7][0] != given[0]:
-                return None
-            score += 1
-        if given and mine[6] and initials and mine[7] and initials[0] != mine[7][0]:
-            return None
-        if not given and not mine[6] and initials and mine[7] and initials[0] != mine[7][0]:
+        elif self.given or o.given:  # the first initial stands for the given name
+            x, y = (self, o) if self.given else (o, self)
+            if y.initials:
+                if y.initials[0] != x.given[0] and (not x.initials or y.initials != x.initials):
+                    return None
+                score += 1
+        elif initial and other and initial != other:
             return None
-        return score
-
-    def learn(self, f: tuple[str, ...]) -> None:
-        for i, v in enumerate(f):
-            if len(v) > len(self.slots[i]) and not self.slots[i] or i == 2 and len(self.slots[i]) < 2 < len(v):
-                self.slots[i] = v
+        got = self.match(o)
+        return None if got is None else score + 2 * len(got[0]) + len(got[1])
+
+    def absorb(self, o: Name) -> None:
+        """Take over what a name that fits tells."""
+        who, town = self.match(o) or ([], [])
+        for mine, its, pairs in ((self.who, o.who, who), (self.town, o.town, town)):
+            for i, j in pairs:
+                mine[i] |= its[j]
+            mine += [set(w) for j, w in enumerate(its) if j not in {p[1] for p in pairs}]
+        self.lone = {c for c in self.lone | o.lone if not any(x.startswith(c) for w in self.who[1:] for x in w)}
+        for slot in ("kind", "trade", "legal", "given", "initials"):
+            setattr(self, slot, getattr(self, slot) or getattr(o, slot))
+
+
+def _add(names: list[Name], form: Name) -> list[Name] | None:
+    """Put a form into the name it fits, and join names it shows to be one: those that contradict each other in nothing once
+    its spellings of their words are known. What it is put to is returned first, then the names that joined it; None if
+    it fits several that do contradict."""
+    fit = sorted(((s, i) for i, x in enumerate(names) if (s := x.fits(form)) is not None), key=lambda x: (-x[0], x[1]))
+    if not fit:
+        names.append(form)
+        return [form]
+    if len(fit) == 1:
+        names[fit[0][1]].absorb(form)
+        return [names[fit[0][1]]]
+    one, joined = copy.deepcopy(form), []
+    for score, x in [(s, names[i]) for s, i in fit]:
+        if one.fits(x) is None:
+            if score == fit[0][0]:
+                return None
+        elif score == fit[0][0] or not any(y is not x and y not in joined and y.fits(x) is not None for y in names):
+            one.absorb(x)
+            joined.append(x)
+    joined[0].absorb(form)
+    for x in joined[1:]:
+        joined[0].absorb(x)
+        names.remove(x)
+    return joined
 
 
 def _assign(batches):
-    """Rows (group, form, slots), in each group from the most to the least telling: (group, form, name)."""
+    """Rows (group, form, slots), in each group from the most to the least telling: (form, name); a name that joined another is
+    given by a second row of the form it began with."""
     here, names = None, []
     for batch in batches:
         out = []
         for group, form, *f in zip(*(c.to_pylist() for c in batch.columns)):
-            f = tuple(f)
             if group != here:
                 here, names = group, []
-            fit = [(s, x) for x in names if (s := x.fits(f)) is not None]
-            best = max((s for s, _ in fit), default=0)
-            fit = [x for s, x in fit if s == best]
-            if len(fit) == 1:
-                fit[0].learn(f)
-                out.append((form, f"{group}|{fit[0].id}"))
-            else:
-                if not fit:
-                    names.append(Name(form, f))
-                out.append((form, f"{group}|{form}"))
+            got = _add(names, Name(form, tuple(f)))
+            to = f"{group}|{got[0].id if got else form}"
+            out.append((form, to))
+            out += [(x.id, to) for x in (got or [])[1:]]
         form, name = zip(*out) if out else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(name, pa.string())], names=["form", "name"])
 

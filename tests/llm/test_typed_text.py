@@ -113,6 +113,23 @@ def test_pairs_of_names(spark):
     assert names.same_name_pairs(df.limit(0)).count() == 0
 
 
+def pairs_of(spark, spellings):
+    return {tuple(r) for r in names.same_name_pairs(spark.createDataFrame([(s,) for s in spellings], "spelling string")).collect()}
+
+
+def all_pairs(*groups):
+    return {tuple(sorted((a, b))) for g in groups for i, a in enumerate(g) for b in g[:i]}
+
+
+def test_typos_of_typos_in_a_name(spark):
+    """A form close to any accepted spelling belongs to the name, and a form between two names joins them."""
+    g = ["Theodore B. Mrdalig", "Theodore Mardalig", "Theo Mardali"]
+    assert pairs_of(spark, [*g, "Leonhard Mardalig"]) == all_pairs(g)
+    h = ["Theodore B. Mrdalig", "Theodore B. Mardali", "Theodore Mardalig"]
+    assert pairs_of(spark, h) == all_pairs(h)
+    assert pairs_of(spark, ["Margrethe Hukindulum", "Leonhard Hukindulum", "Hukindulum"]) == set()
+
+
 def test_fields_of_all_tables(spark):
     p = spark.createDataFrame([("p", "Org A"), ("q", None)], "id string, survey_organisation string")
     v = spark.createDataFrame([("d1", "gx", b"Owner"), (None, "g2", b"Maker"), ("d3", "g2", b"no"), (None, None, b"no"), ("d1", None, None)], "property_id string, leksikon_guid string, value binary")
