@@ -14,7 +14,8 @@ share a word, or have words that are such neighbours, come together and are comp
 3. A word that has a commoner neighbour follows it; words that end at the same one are a group. In a group, forms
    from the most to the least telling are added to the one name they fit, whichever accepted spelling of its words they
    are close to; a form that fits two names joins them if nothing else tells them apart, and is left alone if something
-   does. Only the names met so far are held, with the spellings of their words, never a group's rows.
+   does. Only the names met so far are held, with the spellings of their words, never a group's rows. Names of two groups that have neighbouring words are then
+   compared by the same rules, so that no neighbours are left out, however common they are.
 
 Defined results
 * null and blank spellings are left out; equal spellings are one, whichever field they stand in;
@@ -25,6 +26,7 @@ Defined results
 from __future__ import annotations
 
 import copy
+import json
 import re
 
 import pyarrow as pa
@@ -330,6 +332,23 @@ class Name:
         self.who = [{w} for w in [first, *second.split()] if len(w) > 1]
         self.lone = {w for w in second.split() if len(w) == 1}
         self.town = [{w} for w in town.split()]
+        self.n = 1
+
+    def dump(self) -> str:
+        return json.dumps({k: [sorted(w) for w in v] if k in ("who", "town") else sorted(v) if k == "lone" else v for k, v in vars(self).items()})
+
+    @classmethod
+    def load(cls, text: str) -> Name:
+        self = cls.__new__(cls)
+        for k, v in json.loads(text).items():
+            setattr(self, k, [set(w) for w in v] if k in ("who", "town") else set(v) if k == "lone" else v)
+        return self
+
+    def words(self) -> list[str]:
+        return sorted(set().union(*self.who, *self.town))
+
+    def tell(self) -> int:
+        return (len(self.who) > 1 or bool(self.lone)) + 4 * bool(self.trade) + bool(self.town) + 2 * bool(self.legal) + 4 * bool(self.given) + bool(self.initials)
 
     def match(self, o: Name) -> tuple[list, list] | None:
         """Index pairs of words and of towns that are one, or None if a word contradicts."""
@@ -384,6 +403,7 @@ class Name:
             for i, j in pairs:
                 mine[i] |= its[j]
             mine += [set(w) for j, w in enumerate(its) if j not in {p[1] for p in pairs}]
+        self.n += o.n
         self.lone = {c for c in self.lone | o.lone if not any(x.startswith(c) for w in self.who[1:] for x in w)}
         for slot in ("kind", "trade", "legal", "given", "initials"):
             setattr(self, slot, getattr(self, slot) or getattr(o, slot))
@@ -417,19 +437,56 @@ def _add(names: list[Name], form: Name) -> list[Name] | None:
 
 def _assign(batches):
     """Rows (group, form, slots), in each group from the most to the least telling: (form, name); a name that joined another is
-    given by a second row of the form it began with."""
+    given by a second row of the form it began with. At the end of a group its names: (name, slots, words, tell, n)."""
     here, names = None, []
+
+    def ended():
+        return [(None, f"{here}|{x.id}", x.dump(), x.words(), x.tell(), x.n) for x in names]
+
+    def block(out):
+        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["form", "name", "slots", "words", "tell", "n"])
+
     for batch in batches:
         out = []
         for group, form, *f in zip(*(c.to_pylist() for c in batch.columns)):
             if group != here:
+                out += ended()
                 here, names = group, []
             got = _add(names, Name(form, tuple(f)))
             to = f"{group}|{got[0].id if got else form}"
-            out.append((form, to))
-            out += [(x.id, to) for x in (got or [])[1:]]
-        form, name = zip(*out) if out else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(name, pa.string())], names=["form", "name"])
+            out.append((form, to, None, None, None, None))
+            out += [(x.id, to, None, None, None, None) for x in (got or [])[1:]]
+        yield block(out)
+    yield block(ended())
+
+
+def _across(batches):
+    """Rows (low, low_slots, high, high_slots) in the order of low: (a, b) of each name and those of other groups it is one
+    with, by the rules within a group."""
+    here, low, low_name, high = None, None, None, []
+
+    def ended():
+        got = _add(high, low) if high else None
+        return [(low_name, x.at) for x in got or []]
+
+    for batch in batches:
+        out = []
+        for name, slots, other, other_slots in zip(*(c.to_pylist() for c in batch.columns)):
+            if name != here:
+                out += ended()
+                here, low, low_name, high = name, Name.load(slots), name, []
+            x = Name.load(other_slots)
+            if x.fits(low) is not None:
+                x.at = other
+                high.append(x)
+        yield _links(out)
+    yield _links(ended())
+
+
+def _links(out):
+    a, b = zip(*out) if out else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
 
 def name_classes(spellings: DataFrame) -> DataFrame:
@@ -443,7 +500,8 @@ def name_classes(spellings: DataFrame) -> DataFrame:
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
     c = words.select(F.col("word").alias("a"), F.col("n").alias("na"))
     d = words.select(F.col("word").alias("b"), F.col("n").alias("nb"))
-    # a word follows its best neighbour that is commoner; two edits are only believed of a word met once
+    # groups only divide the work: a word follows its best neighbour that is commoner (at two edits a word met once), and
+    # neighbours that end apart are taken up again below
     up = both.join(c, "a").join(d, "b").where("(nb > na or (nb = na and b < a)) and (edits = 1 or (na = 1 and nb > 1))")
     follow = up.groupBy("a").agg(F.min_by("b", F.struct("edits", (-F.col("nb")).alias("n"), "b")).alias("b"))
     root = stage(components(follow.select("a", "b")))
@@ -452,9 +510,17 @@ def name_classes(spellings: DataFrame) -> DataFrame:
     g = forms.select("form", *slots, F.explode(F.array_distinct(F.filter(F.array("first", "second"), lambda w: F.length(w) > 1))).alias("word"), tell.alias("tell"), "n")
     g = g.join(root, g.word == root.node, "left").select(F.coalesce("component", "word").alias("group"), "form", *slots, "tell", "n").distinct()
     rows = spread(g, "group").sortWithinPartitions("group", F.desc("tell"), F.desc("n"), "form").select("group", "form", *slots)
-    named = stage(rows.mapInArrow(_assign, "form string, name string"))
+    got = stage(rows.mapInArrow(_assign, "form string, name string, slots string, words array<string>, tell int, n int"))
+    named = got.where("form is not null").select("form", "name")
+    # words that are neighbours and ended in two groups: the names of both are compared, the less telling put to the more
+    node = lambda c: root.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
+    apart = near.join(node("a"), "a", "left").join(node("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    side = lambda c: got.where("form is null").select(F.explode("words").alias(c), F.struct("tell", "n", "name", "slots").alias(f"{c}_name"))
+    across = apart.join(side("a"), "a").join(side("b"), "b").where("a_name.name <> b_name.name").select(F.least("a_name", "b_name").alias("l"), F.greatest("a_name", "b_name").alias("h"))
+    across = across.select(F.col("l.name").alias("low"), F.col("l.slots").alias("low_slots"), F.col("h.name").alias("high"), F.col("h.slots").alias("high_slots")).distinct()
+    more = spread(across, "low").sortWithinPartitions("low", F.desc("high")).mapInArrow(_across, "a string, b string")
     links = named.join(named.groupBy("form").agg(F.min("name").alias("low")), "form").select(F.col("name").alias("a"), F.col("low").alias("b"))
-    one = components(links)
+    one = components(links.unionByName(more))
     form_name = named.groupBy("form").agg(F.min("name").alias("name"))
     form_name = form_name.join(one, form_name.name == one.node, "left").select("form", F.coalesce("component", "name").alias("name"))
     return r.select("spelling", "form").join(form_name, "form").select("spelling", "name")
