@@ -11,7 +11,7 @@ share a word, or have words that are such neighbours, come together and are comp
 2. Sharding: two words within two edits have, if they are long enough, fewer than two of them in their first or in their
    last five letters; so the shards are these five letters with none or one left out. A word is in at most twelve shards and each
    of its neighbours is in at least one of the same.
-3. A word that has a commoner neighbour follows it; words that end at the same one are a group. In a group, forms
+3. Names in another order meet by each two of their words. A word that has a commoner neighbour follows it; words that end at the same one are a group. In a group, forms
    from the most to the least telling are added to the one name they fit, whichever accepted spelling of its words they
    are close to; a form that fits two names joins them if nothing else tells them apart, and is left alone if something
    does. Only the names met so far are held, with the spellings of their words, never a group's rows. Names of two groups that have neighbouring words are then
@@ -108,7 +108,7 @@ def _trade(token: str, cache: dict = {}) -> int | None:  # noqa: B006
 
 
 def read(spelling: str) -> tuple[str, ...] | None:
-    """The slots of a spelling (columns of NAME, missing ones empty), or None if no word tells who it is."""
+    """The slots of a spelling (columns of NAME, missing ones empty; second and town hold all such words), or None if no word tells who it is."""
     s = fold(_CAMEL.sub(" ", spelling))
     s = _CARE.sub(" ", _DOTTED.sub(" gmbh ", s))
     s = _SLASHED.sub(r" \1s ", s)
@@ -170,10 +170,10 @@ def read(spelling: str) -> tuple[str, ...] | None:
     first = rare[0][0]
     others = [w for w, j in rare[1:] if j]
     towns = [w for w, j in rare[1:] if not j]
-    second = others[0] if others else partner
-    town = towns[0] if towns else ""
+    second = " ".join([*others, partner]).strip()
+    town = " ".join(towns)
     if kind == "person":
-        return kind, first, "", "", "", legal, given, "".join(initials)
+        return kind, first, second, "", town, legal, given, "".join(initials)
     return kind, first, second, trade, town, legal, "", ""
 
 
@@ -350,8 +350,20 @@ class Name:
     def tell(self) -> int:
         return (len(self.who) > 1 or bool(self.lone)) + 4 * bool(self.trade) + bool(self.town) + 2 * bool(self.legal) + 4 * bool(self.given) + bool(self.initials)
 
-    def match(self, o: Name) -> tuple[list, list] | None:
-        """Index pairs of words and of towns that are one, or None if a word contradicts."""
+    def match(self, o: Name) -> list[tuple[set[str], set[str], int]] | None:
+        """Words that are one, as (own, other's, weight), or None if a word contradicts. Words keep their part, or else stand in
+        any order."""
+        got = self._in_parts(o)
+        if got is None and (self.town or o.town):
+            a, b = self.who + self.town, o.who + o.town
+            of = _pairs(a, b)
+            met = {id(a[i]) for i, _ in of} | {id(b[j]) for _, j in of}
+            # only words that may be a town are ever missing, on one side
+            if 2 <= len(of) == min(len(a), len(b)) and all(id(w) in met for w in self.who + o.who) and not self.lone ^ o.lone:
+                got = [(a[i], b[j], 2) for i, j in of]
+        return got
+
+    def _in_parts(self, o: Name) -> list[tuple[set[str], set[str], int]] | None:
         who, town = _pairs(self.who, o.who), _pairs(self.town, o.town)
         if len(who) < min(len(self.who), len(o.who)) or len(town) < min(len(self.town), len(o.town)):
             return None
@@ -366,13 +378,13 @@ class Name:
                 return None
         elif self.lone and o.lone and self.lone.isdisjoint(o.lone):
             return None
-        return who, town
+        return [(self.who[i], o.who[j], 2) for i, j in who] + [(self.town[i], o.town[j], 1) for i, j in town]
 
     def fits(self, o: Name) -> int | None:
         """How many slots agree, or None if one contradicts."""
         if self.kind and o.kind and self.kind != o.kind:
             return None
-        if "person" in (self.kind, o.kind) and any(x.trade or x.town or x.lone or len(x.who) > 1 for x in (self, o)):
+        if "person" in (self.kind, o.kind) and any(x.kind != "person" and (x.trade or x.town or x.lone or len(x.who) > 1) for x in (self, o)):
             return None
         score = 0
         for a, b, weight in ((self.trade, o.trade, 2), (self.legal, o.legal, 1)):
@@ -394,15 +406,16 @@ class Name:
         elif initial and other and initial != other:
             return None
         got = self.match(o)
-        return None if got is None else score + 2 * len(got[0]) + len(got[1])
+        return None if got is None else score + sum(w for _, _, w in got)
 
     def absorb(self, o: Name) -> None:
         """Take over what a name that fits tells."""
-        who, town = self.match(o) or ([], [])
-        for mine, its, pairs in ((self.who, o.who, who), (self.town, o.town, town)):
-            for i, j in pairs:
-                mine[i] |= its[j]
-            mine += [set(w) for j, w in enumerate(its) if j not in {p[1] for p in pairs}]
+        pairs = self.match(o) or []
+        met = {id(y) for _, y, _ in pairs}
+        for x, y, _ in pairs:
+            x |= y
+        for mine, its in ((self.who, o.who), (self.town, o.town)):
+            mine += [set(y) for y in its if id(y) not in met]
         self.n += o.n
         self.lone = {c for c in self.lone | o.lone if not any(x.startswith(c) for w in self.who[1:] for x in w)}
         for slot in ("kind", "trade", "legal", "given", "initials"):
@@ -441,7 +454,8 @@ def _assign(batches):
     here, names = None, []
 
     def ended():
-        return [(None, f"{here}|{x.id}", x.dump(), x.words(), x.tell(), x.n) for x in names]
+        # names of a group of two words are also in those of one word
+        return [(None, f"{here}|{x.id}", x.dump(), x.words(), x.tell(), x.n) for x in names] if here and " " not in here else []
 
     def block(out):
         kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32())
@@ -495,8 +509,9 @@ def name_classes(spellings: DataFrame) -> DataFrame:
     slots = ["kind", "first", "second", "trade", "town", "legal", "given", "initials"]
     r = stage(spread(s, "spelling").mapInArrow(_read, "spelling string, " + NAME).withColumn("form", F.concat_ws("|", *slots)))
     forms = r.groupBy("form", *slots).agg(F.count("*").alias("n"))
-    words = stage(forms.select(F.explode(F.array("first", "second")).alias("word"), "n").where("length(word) > 1").groupBy("word").agg(F.sum("n").alias("n")))
-    near = neighbours(words)
+    listed = lambda *cs: F.array_distinct(F.filter(F.split(F.concat_ws(" ", *cs), " "), lambda w: F.length(w) > 1))
+    words = stage(forms.select(F.explode(listed("first", "second", "town")).alias("word"), "n").where("length(word) > 1").groupBy("word").agg(F.sum("n").alias("n")))
+    near = stage(neighbours(words))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
     c = words.select(F.col("word").alias("a"), F.col("n").alias("na"))
     d = words.select(F.col("word").alias("b"), F.col("n").alias("nb"))
@@ -506,9 +521,16 @@ def name_classes(spellings: DataFrame) -> DataFrame:
     follow = up.groupBy("a").agg(F.min_by("b", F.struct("edits", (-F.col("nb")).alias("n"), "b")).alias("b"))
     root = stage(components(follow.select("a", "b")))
     tell = sum((F.length(c) > 0).cast("int") * w for c, w in (("second", 1), ("trade", 4), ("town", 1), ("legal", 2), ("given", 4), ("initials", 1)))
-    # a form with two rare words is put into the group of each; the groups are joined again by the form
-    g = forms.select("form", *slots, F.explode(F.array_distinct(F.filter(F.array("first", "second"), lambda w: F.length(w) > 1))).alias("word"), tell.alias("tell"), "n")
-    g = g.join(root, g.word == root.node, "left").select(F.coalesce("component", "word").alias("group"), "form", *slots, "tell", "n").distinct()
+    # a form is put into the group of each word that tells who it is; with words that may be a town (of which a few stand in
+    # very many names) also into the group of each two of its words, as in another order two words at least must agree.
+    # The groups are joined again by the form
+    all_words = forms.select("form", *slots, tell.alias("tell"), "n", F.explode(listed("first", "second", "town")).alias("word"))
+    all_words = all_words.join(root, all_words.word == root.node, "left").select(F.coalesce("component", "word").alias("group"), "word", "form", *slots, "tell", "n")
+    all_words = stage(all_words)
+    g = all_words.where(F.array_contains(listed("first", "second"), F.col("word"))).select("group", "form", *slots, "tell", "n").distinct()
+    two = all_words.where("town <> ''").groupBy("form", *slots, "tell", "n").agg(F.sort_array(F.collect_list("group")).alias("gs"))
+    each = F.expr("flatten(transform(gs, (x, i) -> transform(slice(gs, i + 2, size(gs)), y -> concat(x, ' ', y))))")
+    g = g.unionByName(two.select(F.explode(F.array_distinct(each)).alias("group"), "form", *slots, "tell", "n"))
     rows = spread(g, "group").sortWithinPartitions("group", F.desc("tell"), F.desc("n"), "form").select("group", "form", *slots)
     got = stage(rows.mapInArrow(_assign, "form string, name string, slots string, words array<string>, tell int, n int"))
     named = got.where("form is not null").select("form", "name")

@@ -141,6 +141,12 @@ def test_two_edits_however_common(spark):
     assert (k[2], k[0]) not in got and (k[5], k[0]) not in got and (k[0], k[5]) not in got
 
 
+def test_all_rare_words_in_any_order(spark):
+    groups = [["Anna Lund", "Lund, Anna", "Lund, Anna Roskborg"], ["Moeller Elektro ApS", "Elektro Moeller ApS"],
+              ["Fanorgil & Tebolsun & Skulmadit ApS", "Skulmadit & Fanorgil & Tebolsun ApS"], ["Fanorgil & Tebolsun & Drimlustov ApS"], ["Anna Berg"]]
+    assert pairs_of(spark, [s for g in groups for s in g]) == all_pairs(*groups)
+
+
 def test_fields_of_all_tables(spark):
     p = spark.createDataFrame([("p", "Org A"), ("q", None)], "id string, survey_organisation string")
     v = spark.createDataFrame([("d1", "gx", b"Owner"), (None, "g2", b"Maker"), ("d3", "g2", b"no"), (None, None, b"no"), ("d1", None, None)], "property_id string, leksikon_guid string, value binary")
