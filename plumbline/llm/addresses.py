@@ -39,6 +39,8 @@ STREET_TYPES = {
     "avenue": ["avenu", "aven", "ave", "av"], "lane": ["lane", "ln", "la"],
 }
 ENGLISH = ["street", "road", "avenue", "lane"]
+#: Words of street names that are written short.
+SHORT = {"gl": "gamle", "ndr": "nordre", "sdr": "sondre", "skt": "sankt"}
 #: Words that say nothing about the place.
 COUNTRIES = ["denmark", "danmark", "danemark", "deutschland", "germany", "tyskland", "uk", "england", "united kingdom", "great britain", "sweden", "sverige"]
 PREFIXES = ["dk", "de", "d", "pc", "uk", "gb", "se", "s"]
@@ -78,8 +80,8 @@ def street_type(word: str) -> tuple[str, str, int] | None:
 
 
 def parse(text: str | None) -> tuple[str, str, str, str, str] | None:
-    """(street name, street type, number with letter, postcode, town) in folded spelling; what is missing is empty. None
-    where no street and number are found."""
+    """(street name, street type, number with letter, postcode, town) in folded spelling; what is missing is empty, and name
+    and town hold all their words, in order. None where no street and number are found."""
     if text is None:
         return None
     s = re.sub(r"\s+", " ", fold(_CAMEL.sub(" ", text))).strip(" ,;")
@@ -110,6 +112,7 @@ def parse(text: str | None) -> tuple[str, str, str, str, str] | None:
     for i, t in enumerate(tokens):
         if not best and len(t[0]) == 2 and t[0][1] == "." and t[0][0] in _WORDS and i and i - 1 in words:
             name, kind, street, best = tokens[i - 1][0].rstrip("."), _WORDS[t[0][0]], {i - 1, i}, 2
+    beside = lambda i: i in words and i + 1 in words and s[tokens[i][2] : tokens[i + 1][1]] in ("", " ", "-")
     rest = [i for i in words if i not in street]
     if not postcode:
         four = [i for i in digits if i not in marked and len(tokens[i][0]) in (4, 5)]
@@ -134,12 +137,24 @@ def parse(text: str | None) -> tuple[str, str, str, str, str] | None:
     digits_ = tokens[at][0].lstrip("#")
     if not postcode and 5 <= len(digits_) <= 7:  # the blank before the postcode was not typed
         digits_, postcode = digits_[:-4], digits_[-4:]
+    # the whole street part: what stands before its word, and behind it up to the number, or, without a type, behind the number
+    first, last = min(street), max(street)
+    while beside(first - 1):
+        first -= 1
+    end = last
+    while beside(end):
+        end += 1
+    if end + 1 == at and s[tokens[end][2] : tokens[at][1]].strip(" -") == "" or not kind and first - 1 == at:
+        last = end
+    before, after = ([SHORT.get(w, w) for i in part if (w := tokens[i][0].rstrip("."))] for part in (range(first, min(street)), range(max(street) + 1, last + 1)))
+    name = " ".join([*before, name, *after])
+    rest = [i for i in rest if not first <= i <= last]
     number = str(int(digits_))
     if at + 1 < len(tokens) and re.fullmatch(r"[a-z]\.?", tokens[at + 1][0]) and s[tokens[at][2] : tokens[at + 1][1]].strip() == "":
         number += tokens[at + 1][0][0]
     towns = [tokens[i][0].rstrip(".") for i in rest]
     towns = [w for w in towns if len(w) > 2]
-    return name, kind, number, postcode, max(towns, key=len) if towns else ""
+    return name, kind, number, postcode, " ".join(towns)
 
 
 def same_type(a: str, b: str) -> bool:
@@ -149,42 +164,45 @@ def same_type(a: str, b: str) -> bool:
 
 
 def alignment_cost(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Affine-gap alignment of (name, type, number, place) tokens; 0 for the same place, 1 and more for another.
+    """Affine-gap alignment of the tokens of (name, type, number, place), each word of name and place one; 0 for the same place, 1 and more for another.
 
     Words may be replaced by a spelling within a few edits, a type by its abbreviation, a number by nothing else. A
     missing token opens a gap, dear for name and number, cheap for type and place."""
-    gap_open = (9.0, 0.3, 9.0, 0.4)
+    many = " " in a[3] or " " in b[3]
+    opens = (9.0, 0.3, 9.0, 0.6 if many and a[3] and b[3] else 0.4)
+    x_, y_ = ([(k, t) for k, slot in enumerate(f) for t in (slot.split() or [""])] for f in (a, b))
     inf = 99.0
 
     def replace(i: int, j: int) -> float:
-        if i != j:
+        (k, x), (k2, y) = x_[i], y_[j]
+        if k != k2:
             return inf
-        x, y = a[i], b[j]
         if not x or not y:
-            return gap_open[i]
-        if i == 1:
+            return opens[k]
+        if k == 1:
             return 0.0 if same_type(x, y) else 9.0
         if x == y:
             return 0.0
-        if i == 2 or x[0].isdigit() or y[0].isdigit():
+        if k == 2 or x[0].isdigit() or y[0].isdigit():
             return 9.0
         d = distance(x, y, bound(x, y))
         return 0.35 * d if d <= bound(x, y) else 9.0
 
-    n = len(a)
-    m = [[inf] * (n + 1) for _ in range(n + 1)]  # match, gap in b, gap in a
-    g = [[inf] * (n + 1) for _ in range(n + 1)]
-    h = [[inf] * (n + 1) for _ in range(n + 1)]
+    n, n2 = len(x_), len(y_)
+    gap_a, gap_b = [opens[k] for k, _ in x_], [opens[k] for k, _ in y_]
+    m = [[inf] * (n2 + 1) for _ in range(n + 1)]  # match, gap in b, gap in a
+    g = [[inf] * (n2 + 1) for _ in range(n + 1)]
+    h = [[inf] * (n2 + 1) for _ in range(n + 1)]
     m[0][0] = 0.0
     for i in range(n + 1):
-        for j in range(n + 1):
+        for j in range(n2 + 1):
             if i and j:
                 m[i][j] = min(m[i - 1][j - 1], g[i - 1][j - 1], h[i - 1][j - 1]) + replace(i - 1, j - 1)
             if i:
-                g[i][j] = min(m[i - 1][j] + gap_open[i - 1], g[i - 1][j] + gap_open[i - 1] / 2)
+                g[i][j] = min(m[i - 1][j] + gap_a[i - 1], g[i - 1][j] + gap_a[i - 1] / 2)
             if j:
-                h[i][j] = min(m[i][j - 1] + gap_open[j - 1], h[i][j - 1] + gap_open[j - 1] / 2)
-    return min(m[n][n], g[n][n], h[n][n])
+                h[i][j] = min(m[i][j - 1] + gap_b[j - 1], h[i][j - 1] + gap_b[j - 1] / 2)
+    return min(m[n][n2], g[n][n2], h[n][n2])
 
 
 def same_place(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
@@ -196,8 +214,11 @@ def same_place(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
         return any(same_place(x, y) for x in read_as(a) for y in read_as(b))
     if alignment_cost(a[:4], b[:4]) < 1.0:  # two typos, or one and a missing part
         return True
+    x, y = a[0].replace(" ", ""), b[0].replace(" ", "")
+    if a[0].count(" ") != b[0].count(" ") and distance(x, y, 1) <= 1 and alignment_cost((x, *a[1:4]), (y, *b[1:4])) < 1.0:
+        return True  # a blank more or less
     # a typo in the street type leaves it part of the name
-    if a[1] and b[1]:
+    if a[1] and b[1] or not a[1] and not b[1] and " " in a[0] + b[0]:
         return False
     whole = lambda f: f[4]
     return distance(whole(a), whole(b), 2) <= 2 and alignment_cost(("x", "", *a[2:4]), ("x", "", *b[2:4])) < 0.8
@@ -227,7 +248,9 @@ class Places:
         self.near: dict[str, str | None] = {}
 
     def code(self, town: str) -> str | None:
-        """The postcode of a town, also if it is misspelt and only one town is near."""
+        """The postcode of a town, also if it is misspelt and only one town is near, or of the longest of its words."""
+        if " " in town and town not in self.town_code:
+            town = max(town.split(), key=len)
         if not town or town in self.town_code:
             return self.town_code.get(town)
         if town not in self.near:
@@ -235,6 +258,16 @@ class Places:
             self.near[town] = found.pop() if len(found) == 1 else None
         return self.near[town]
 
+    def part(self, name: str, postcode: str, town: str) -> tuple[str, str]:
+        """(name, town): a town that was read as the first or last word of the street, as no comma stood between."""
+        words = name.split()
+        if not town and len(words) > 1:
+            for w, rest in ((words[0], words[1:]), (words[-1], words[:-1])):
+                known = self.code_town.get(postcode)
+                if known and distance(w, known, bound(w, known)) <= bound(w, known) or (self.code(w) not in (None, "") if len(w) > 5 else w in self.town_code):
+                    return " ".join(rest), w
+        return name, town
+
     def place(self, postcode: str, town: str) -> str:
         code = self.code(town)
         if not postcode:
@@ -259,8 +292,9 @@ def read(projects: DataFrame) -> DataFrame:
     def resolve(batches):
         places = Places(sent.value)
         for batch in batches:
-            got = [places.place(c, t) for c, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.string())], names=["address", "name", "kind", "number", "place"])
+            rows = [(c, *places.part(n, c, t)) for n, c, t in zip(*(batch.column(i).to_pylist() for i in (1, 4, 5)))]
+            name, got = [n for _, n, _ in rows], [places.place(c, t) for c, _, t in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), *batch.columns[2:4], pa.array(got, pa.string())], names=["address", "name", "kind", "number", "place"])
 
     r = stage(p.mapInArrow(resolve, "address string, name string, kind string, number string, place string"))
     only = r.where("place <> ''").groupBy("name", "number").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo = hi")
@@ -278,7 +312,7 @@ def _bands(batches):
                 nm_, k = nm + EITHER[k][1][0], ""
             else:
                 nm_ = nm
-            street = nm_ + ("str" if k in ("straede", "strasse", "street", "str") else k)
+            street = nm_.replace(" ", "") + ("str" if k in ("straede", "strasse", "street", "str") else k)
             grams = {hash_text(street[i : i + Q]) for i in range(max(1, len(street) - Q + 1))}
             x = np.fromiter(grams, np.uint64, len(grams))
             with np.errstate(over="ignore"):

@@ -96,6 +96,21 @@ def test_typos_of_typos_at_one_place(spark):
     assert sorted(got) == [("vesster", "vester"), ("vester", "veste"), ("vester", "vster")]
 
 
+STREETS = [
+    ["Gamle Kongevej 12, 1850 Roskborg", "Gl. Kongevej 12, 1850 Roskborg", "Gamlekongevej 12, 1850 Roskborg"], ["Ny Kongevej 12, 1850 Roskborg"], ["Kongevej 12, 1850 Roskborg"],
+    ["Anna Boulevard 5, 8000 Tustrup", "5 Anna Boulevard, 8000 Tustrup"], ["Berg Boulevard 5, 8000 Tustrup"], ["Ny Plads 5, 8000 Tustrup"], ["Gl Plads 5, 8000 Tustrup"],
+    ["Gamle Skolevej 3, 6760 Ribestad", "Ribestad Gamle Skolevej 3", "Gamle Skolevej 3, Ribestad"],
+]
+
+
+def test_all_words_of_a_street(spark):
+    assert addresses.parse("Gamle Skolevej 3, Ribe") == ("gamle skole", "vej", "3", "", "ribe")
+    assert addresses.parse("Torvald Hansens Vej Nord 3, 4800 Nykøbing Falster") == ("torvald hansens nord", "vej", "3", "4800", "nykobing falster")
+    rows = [(f"p{i}{k}", a) for i, group in enumerate(STREETS) for k, a in enumerate(group)]
+    got = {tuple(r) for r in addresses.same_place_pairs(spark.createDataFrame(rows, "id string, building_address string")).collect()}
+    assert got == {(f"p{i}{k}", f"p{i}{m}") for i, g in enumerate(STREETS) for k in range(len(g)) for m in range(k + 1, len(g))}
+
+
 NAMES = [
     ["Skulmadit Byggemarked Ltd", "skulmadit byggem. limited", "Byggemarked Skulmadit Ltd", "Skulmdait Byggemarked LTD ", "SKULMADIT LTD"],
     ["Skulmadit Ziegelei GmbH", "Skulmadit Zieg. G.m.b.H."],
