@@ -209,7 +209,9 @@ def _index(batches):
     rows, size = [], 0
 
     def finish():
-        out = matching_windows([r[3] for r in rows], np.array([-1 if r[2] is None else r[2] for r in rows], np.int64), LENGTH) if len(rows) > 1 else [np.zeros(0, np.int64)] * len(rows)
+        number: dict[int, int] = {}  # from 0 in each shard, as ids may be negative
+        owner = np.array([-1 if r[2] is None else number.setdefault(r[2], len(number)) for r in rows], np.int64)
+        out = matching_windows([r[3] for r in rows], owner, LENGTH) if len(rows) > 1 else [np.zeros(0, np.int64)] * len(rows)
         hits = [(r[0], r[1], a, b) for r, w in zip(rows, out) for a, b in _as_ranges(w)]
         cols = list(zip(*hits)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "code", "first", "last"])

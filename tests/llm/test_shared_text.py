@@ -107,6 +107,14 @@ def test_shared_windows_against_brute_force(spark, monkeypatch, small):
     assert dict(got) == covered(docs)
 
 
+def test_negative_ids_share_windows(spark):
+    docs = [(-1 - i, t) for i, t in texts(5)]
+    got = defaultdict(set)
+    for r in spans.shared_windows(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r["doc_id"]] |= set(range(r["first"], r["last"] + 1))
+    assert dict(got) == covered(docs)
+
+
 def test_spans_are_merged(spark):
     df = spark.createDataFrame(texts(6), "doc_id long, text string")
     want = covered(texts(6))
