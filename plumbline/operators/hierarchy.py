@@ -219,12 +219,14 @@ def paths(tour_: DataFrame) -> DataFrame:
     return rows.select("root", "block", "entry", "exit", "id", "name_", "own").mapInPandas(_sweep, "id long, path string, ancestors array<long>")
 
 
-def descendants(tour_: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, descendant, hops) of every node whose id is in `wanted` (column id), by interval containment: the nodes
+def descendants(tour_: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, descendant, hops) of every node, or of those whose id is in `wanted` (column id), by interval containment: the nodes
     are read off the ancestors of the sweep, so nothing is compared pairwise."""
     t = stage(tour_)
     pairs = paths(t).select(F.col("id").alias("descendant"), F.posexplode(F.reverse("ancestors")).alias("up", "id"))
-    return pairs.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "descendant", (F.col("up") + 1).alias("hops"))
+    if wanted is not None:
+        pairs = pairs.join(wanted.select("id").distinct(), "id", "left_semi")
+    return pairs.select("id", "descendant", (F.col("up") + 1).alias("hops"))
 
 
 def looped(components: DataFrame, none_values: tuple[int, ...] = (-1,)) -> DataFrame:

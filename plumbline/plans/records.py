@@ -26,6 +26,11 @@ def p1_paths(spark, d):
     return t.join(hierarchy.paths(t), "id").select("id", "path", "depth", "root", "entry", "exit", "descendants", "looped", "broken")
 
 
+@R.query("p1_descendants")
+def p1_descendants(spark, d):
+    return hierarchy.descendants(hierarchy.tour(table(spark, d, "building_components")))
+
+
 @R.query("p4_found", """
     with o as (select distinct series_id, file_id, json_extract_string(payload, '$.node_id') as node, j.key as field, case when j.type = 'VARCHAR' then 'string' when j.type = 'BOOLEAN' then 'boolean' when j.type = 'ARRAY' then 'array'
             when j.type = 'OBJECT' then 'object' when j.type <> 'NULL' then 'number' end as kind, case when j.type <> 'NULL' then coalesce(try_cast(j.atom as double)::varchar, j.value::varchar) end as v

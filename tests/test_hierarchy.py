@@ -77,3 +77,12 @@ def test_empty_null_and_odd_names(spark):
     t = stage(H.tour(df))
     assert {r["id"]: (r["path"]) for r in H.paths(t).collect()} == {1: r"a\/b\\c", 2: r"a\/b\\c/", 3: ""}
     assert {r["id"]: r["broken"] for r in t.collect()} == {1: False, 2: False, 3: True}
+
+
+def test_query_of_all_descendants(spark, tmp_path):
+    from plumbline.plans.records import R
+
+    parents = {0: None, 1: 0, 2: 1, 3: 1, 4: 6, 5: 4, 6: 5, 7: 99}
+    spark.createDataFrame(rows(parents), SCHEMA).write.parquet(f"{tmp_path}/building_components.parquet")
+    got = sorted(tuple(r) for r in R.queries["p1_descendants"](spark, str(tmp_path)).select("id", "descendant", "hops").collect())
+    assert got[:6] == [(0, 1, 1), (0, 2, 2), (0, 3, 2), (1, 2, 1), (1, 3, 1), (4, 5, 1)] and got[6:] == [(4, 6, 2), (5, 6, 1)]
