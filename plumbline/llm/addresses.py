@@ -384,9 +384,14 @@ def place_classes(projects: DataFrame) -> DataFrame:
     return r.join(weak, "class", "left").select("address", F.coalesce("to", "class").alias("class"))
 
 
+def project_places(projects: DataFrame) -> DataFrame:
+    """(project_id, place_id): the place of every project whose address denotes one, one row per project and place."""
+    m = projects.select("id", F.col("building_address").alias("address")).where("id is not null").distinct()
+    return m.join(place_classes(projects), "address").select(F.col("id").alias("project_id"), F.md5("class").alias("place_id")).distinct()
+
+
 def same_place_pairs(projects: DataFrame) -> DataFrame:
     """(project_id_a, project_id_b), a < b, of all projects at one place."""
-    m = projects.select("id", F.col("building_address").alias("address")).where("id is not null").distinct()
-    m = stage(m.join(place_classes(projects), "address").select("id", "class").distinct())
+    m = stage(project_places(projects)).select(F.col("project_id").alias("id"), F.col("place_id").alias("class"))
     a, b = m.select(F.col("id").alias("project_id_a"), "class"), m.select(F.col("id").alias("project_id_b"), "class")
     return a.join(b, "class").where("project_id_a < project_id_b").select("project_id_a", "project_id_b").distinct()

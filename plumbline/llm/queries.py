@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import addresses, leakage, names, spans, tokenizer
 from plumbline.plans.registry import Registry
 from plumbline.session import table
@@ -14,10 +16,24 @@ def p2_found(spark, d):
     return addresses.same_place_pairs(table(spark, d, "projects"))
 
 
+@R.query("p2_places")
+def p2_places(spark, d):
+    return addresses.project_places(table(spark, d, "projects"))
+
+
+def _spellings(spark, d):
+    return names.field_spellings(*(table(spark, d, n) for n in ("projects", "passport_property_values", "property_definitions")))
+
+
 @R.query("p3_found")
 def p3_found(spark, d):
-    spellings = names.field_spellings(*(table(spark, d, n) for n in ("projects", "passport_property_values", "property_definitions")))
-    return names.same_name_pairs(spellings)
+    return names.same_name_pairs(_spellings(spark, d))
+
+
+@R.query("p3_classes")
+def p3_classes(spark, d):
+    c = names.name_classes(_spellings(spark, d))
+    return c.select("spelling", F.md5("name").alias("class_id"))
 
 
 @R.query("p8_ids")
