@@ -3,11 +3,11 @@
 Method: MinHash banding on token and q-gram shingles gives candidates; each candidate pair is checked by an affine-gap
 alignment of the two token sequences, whose substitution costs know the abbreviations.
 
-1. An address is read into street name, street type, house number with letter, postcode and town. Floor, door, part of
+1. An address is read into the words of its street, street type, house number with letter, postcode and town. Floor, door, part of
    the building, country and postal prefixes fall away. Which town a postcode belongs to is learnt from the rows that
-   have both, so a row with only one of them can be placed.
+   have both, so a row with only one of them can be placed; misspelt towns are found by a trie join. All of this is joins.
 2. What is written alike after that is one form, whatever its number of rows. Forms are banded by their house number
-   (a token that must agree) and minhashes of the street's q-grams.
+   (a token that must agree) and minhashes of q-grams of the street and of all tokens.
 3. In a band each form is compared with the members of every cluster met so far until one matches, and one link per
    cluster is emitted, so no pairs of one cluster are; bands are worked through in SALTS parts, a place whole in one.
 4. Verified links make classes (connected components); pairs of projects are read off the classes.
@@ -21,12 +21,14 @@ Defined results
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.names import neighbours
 from plumbline.llm.words import bound, distance, fold
 from plumbline.operators.components import components
 from plumbline.session import spread, stage
@@ -163,65 +165,87 @@ def same_type(a: str, b: str) -> bool:
     return a == b or not a or not b
 
 
-def alignment_cost(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Affine-gap alignment of the tokens of (name, type, number, place), each word of name and place one; 0 for the same place, 1 and more for another.
-
-    Words may be replaced by a spelling within a few edits, a type by its abbreviation, a number by nothing else. A
-    missing token opens a gap, dear for name and number, cheap for type and place."""
-    many = " " in a[3] or " " in b[3]
-    opens = (9.0, 0.3, 9.0, 0.6 if many and a[3] and b[3] else 0.4)
-    x_, y_ = ([(k, t) for k, slot in enumerate(f) for t in (slot.split() or [""])] for f in (a, b))
-    inf = 99.0
-
-    def replace(i: int, j: int) -> float:
-        (k, x), (k2, y) = x_[i], y_[j]
-        if k != k2:
+#: What a missing token costs, by its part: a word of the street, its type, the number, a word of the place.
+GAP = {"w": 9.0, "t": 0.3, "n": 9.0, "p": 0.4}
+#: An edit; a token read as another part; two tokens written as one or in the other order; what is never the same.
+EDIT, PART, JOINED, NEVER = 0.35, 0.4, 0.1, 9.0
+_SPELT = {t: [x for x in (t, *all_) if len(x) >= 3] for t, all_ in STREET_TYPES.items()}
+
+
+def token_list(form: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(name, type, number, place) as tokens (part, text), of any number of words, in the order of an address."""
+    name, kind, number, place = form[:4]
+    return [*(("w", w) for w in name.split()), *((("t", kind),) if kind else ()), ("n", number), *(("p", w) for w in place.split())]
+
+
+@lru_cache(200_000)
+def replacing(x: tuple[str, str], y: tuple[str, str]) -> float:
+    """The cost of one token for another: edits of a word, an abbreviation or a slip of a type, a word read as another part."""
+    (p, a), (q, b) = x, y
+    if p == q and a == b:
+        return 0.0
+    if "n" in (p, q) or a[0].isdigit() or b[0].isdigit():
+        return NEVER
+    if p == q == "t":
+        return 0.0 if same_type(a, b) else NEVER
+    if "t" in (p, q):
+        kind, word = (a, b) if p == "t" else (b, a)
+        return PART + EDIT if any(len(word) >= 3 and distance(word, t, 1) <= 1 for t in _SPELT.get(kind, ())) else NEVER
+    d, most = distance(a, b, bound(a, b)), bound(a, b)
+    return EDIT * d + PART * (p != q) if d <= most else NEVER
+
+
+def alignment_cost(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> float:
+    """Affine-gap alignment of two token lists; 0 for the same place, 1 and more for another.
+
+    Any token may stand against any other at the cost of `replacing`; a run of missing ones opens a gap at the cost of its first
+    and half of each further one, but not on both sides at one spot, as two different tokens there contradict each other; two
+    neighbours may stand in the other order, or be written as one word."""
+    n, k, inf = len(a), len(b), 99.0
+    several = sum(p == "p" for p, _ in a) > 1 or sum(p == "p" for p, _ in b) > 1
+    both = any(p == "p" for p, _ in a) and any(p == "p" for p, _ in b)
+    gap = lambda t: GAP[t[0]] + 0.2 * (t[0] == "p" and several and both)
+
+    def one_word(two, word) -> float:
+        if word[0] not in "wp" or two[0][0] not in "wp" or two[1][0] not in "wtp":
             return inf
-        if not x or not y:
-            return opens[k]
-        if k == 1:
-            return 0.0 if same_type(x, y) else 9.0
-        if x == y:
-            return 0.0
-        if k == 2 or x[0].isdigit() or y[0].isdigit():
-            return 9.0
-        d = distance(x, y, bound(x, y))
-        return 0.35 * d if d <= bound(x, y) else 9.0
-
-    n, n2 = len(x_), len(y_)
-    gap_a, gap_b = [opens[k] for k, _ in x_], [opens[k] for k, _ in y_]
-    m = [[inf] * (n2 + 1) for _ in range(n + 1)]  # match, gap in b, gap in a
-    g = [[inf] * (n2 + 1) for _ in range(n + 1)]
-    h = [[inf] * (n2 + 1) for _ in range(n + 1)]
-    m[0][0] = 0.0
+        kinds = {two[1][1], *STREET_TYPES.get(two[1][1], ())} if two[1][0] == "t" else [two[1][1]]
+        most = lambda t: bound(two[0][1] + t, word[1]) if len(t) > 2 else 0
+        got = min((d for t in kinds if (d := distance(two[0][1] + t, word[1], most(t))) <= most(t)), default=9)
+        return JOINED + EDIT * got if got < 9 else inf
+
+    m = [[inf] * (k + 1) for _ in range(n + 1)]  # tokens stand against each other, gap in b, gap in a
+    g = [[inf] * (k + 1) for _ in range(n + 1)]
+    h = [[inf] * (k + 1) for _ in range(n + 1)]
+    best = [[inf] * (k + 1) for _ in range(n + 1)]
+    m[0][0] = best[0][0] = 0.0
     for i in range(n + 1):
-        for j in range(n2 + 1):
+        for j in range(k + 1):
             if i and j:
-                m[i][j] = min(m[i - 1][j - 1], g[i - 1][j - 1], h[i - 1][j - 1]) + replace(i - 1, j - 1)
+                m[i][j] = best[i - 1][j - 1] + replacing(a[i - 1], b[j - 1])
+            if i > 1 and j > 1:
+                m[i][j] = min(m[i][j], best[i - 2][j - 2] + JOINED + replacing(a[i - 2], b[j - 1]) + replacing(a[i - 1], b[j - 2]))
+            if i > 1 and j and best[i - 2][j - 1] < 1:
+                m[i][j] = min(m[i][j], best[i - 2][j - 1] + one_word(a[i - 2 : i], b[j - 1]))
+            if i and j > 1 and best[i - 1][j - 2] < 1:
+                m[i][j] = min(m[i][j], best[i - 1][j - 2] + one_word(b[j - 2 : j], a[i - 1]))
             if i:
-                g[i][j] = min(m[i - 1][j] + gap_a[i - 1], g[i - 1][j] + gap_a[i - 1] / 2)
+                g[i][j] = min(m[i - 1][j] + gap(a[i - 1]), g[i - 1][j] + gap(a[i - 1]) / 2)
             if j:
-                h[i][j] = min(m[i][j - 1] + gap_b[j - 1], h[i][j - 1] + gap_b[j - 1] / 2)
-    return min(m[n][n2], g[n][n2], h[n][n2])
+                h[i][j] = min(m[i][j - 1] + gap(b[j - 1]), h[i][j - 1] + gap(b[j - 1]) / 2)
+            if i or j:
+                best[i][j] = min(m[i][j], g[i][j], h[i][j])
+    return best[n][k]
 
 
 def same_place(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    """Forms are (name, type, number, place, street as one word)."""
+    """Whether two forms (name, type, number, place) are one place: at most two slips, or one and a missing part."""
     if a[2] != b[2]:
         return False
     if a[1] in EITHER or b[1] in EITHER:
         read_as = lambda f: [(f[0] + more, kind, *f[2:]) for more, kind in EITHER[f[1]]] if f[1] in EITHER else [f]
         return any(same_place(x, y) for x in read_as(a) for y in read_as(b))
-    if alignment_cost(a[:4], b[:4]) < 1.0:  # two typos, or one and a missing part
-        return True
-    x, y = a[0].replace(" ", ""), b[0].replace(" ", "")
-    if a[0].count(" ") != b[0].count(" ") and distance(x, y, 1) <= 1 and alignment_cost((x, *a[1:4]), (y, *b[1:4])) < 1.0:
-        return True  # a blank more or less
-    # a typo in the street type leaves it part of the name
-    if a[1] and b[1] or not a[1] and not b[1] and " " in a[0] + b[0]:
-        return False
-    whole = lambda f: f[4]
-    return distance(whole(a), whole(b), 2) <= 2 and alignment_cost(("x", "", *a[2:4]), ("x", "", *b[2:4])) < 0.8
+    return alignment_cost(token_list(a), token_list(b)) < 1.0
 
 
 def _parsed(batches):
@@ -232,49 +256,44 @@ def _parsed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(c, pa.string()) for c in cols)], names=["address", "name", "kind", "number", "postcode", "town"])
 
 
-class Places:
-    """Postcodes and the towns they belong to, by majority of the addresses that have both. At most 10^5 entries, as
-    postcodes have four or five digits."""
-
-    def __init__(self, seen: list[tuple[str, str, int]]):
-        by_code: dict[str, tuple[int, str]] = {}
-        by_town: dict[str, tuple[int, str]] = {}
-        for code, town, n in seen:
-            by_code[code] = max(by_code.get(code, (0, "")), (n, town))
-            by_town[town] = max(by_town.get(town, (0, "")), (n, code))
-        self.code_town = {c: t for c, (_, t) in by_code.items()}
-        self.town_code = {t: c for t, (_, c) in by_town.items() if self.code_town[c] == t}
-        self.sure = {t for t, (n, _) in by_town.items() if n >= 3}
-        self.near: dict[str, str | None] = {}
-
-    def code(self, town: str) -> str | None:
-        """The postcode of a town, also if it is misspelt and only one town is near, or of the longest of its words."""
-        if " " in town and town not in self.town_code:
-            town = max(town.split(), key=len)
-        if not town or town in self.town_code:
-            return self.town_code.get(town)
-        if town not in self.near:
-            found = {c for t, c in self.town_code.items() if distance(town, t, bound(town, t)) <= bound(town, t)}
-            self.near[town] = found.pop() if len(found) == 1 else None
-        return self.near[town]
-
-    def part(self, name: str, postcode: str, town: str) -> tuple[str, str]:
-        """(name, town): a town that was read as the first or last word of the street, as no comma stood between."""
-        words = name.split()
-        if not town and len(words) > 1:
-            for w, rest in ((words[0], words[1:]), (words[-1], words[:-1])):
-                known = self.code_town.get(postcode)
-                if known and distance(w, known, bound(w, known)) <= bound(w, known) or (self.code(w) not in (None, "") if len(w) > 5 else w in self.town_code):
-                    return " ".join(rest), w
-        return name, town
-
-    def place(self, postcode: str, town: str) -> str:
-        code = self.code(town)
-        if not postcode:
-            return code or town
-        if code and code != postcode and (postcode not in self.code_town or town in self.sure):
-            return code  # the town is well known and has another postcode: the digits are mistyped
-        return postcode
+def _town_codes(seen: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, code, exact, sure) of each word (column word) that is a town whose postcode the rows (postcode, town, n) tell by majority, or
+    that is the misspelling of such towns of one postcode only. All by joins: towns are as many as there are spellings."""
+    order = lambda n, *c: F.struct(n, *c)
+    by_code = seen.groupBy("postcode").agg(F.max_by("town", order("n", "town")).alias("town"))
+    by_town = seen.groupBy("town").agg(F.max_by("postcode", order("n", "postcode")).alias("postcode"), F.max("n").alias("most"))
+    known = stage(by_town.join(by_code, ["postcode", "town"]).select(F.col("town").alias("word"), F.col("postcode").alias("code"), (F.col("most") >= 3).alias("sure")))
+    sure = by_town.where("most >= 3").select(F.col("town").alias("word"))
+    exact = words.join(known, "word").select("word", "code", F.lit(True).alias("exact"))
+    open_ = words.join(known, "word", "left_anti")
+    near = neighbours(open_.select("word").unionByName(known.select("word")))
+    near = near.select(F.col("a").alias("word"), F.col("b").alias("town")).unionByName(near.select(F.col("b").alias("word"), F.col("a").alias("town")))
+    near = near.join(open_, "word", "left_semi").join(known.select(F.col("word").alias("town"), "code"), "town")
+    near = near.groupBy("word").agg(F.min("code").alias("code"), F.max("code").alias("hi")).where("code = hi").select("word", "code", F.lit(False).alias("exact"))
+    return exact.unionByName(near).join(sure.withColumn("sure", F.lit(True)), "word", "left").select("word", "code", "exact", F.coalesce("sure", F.lit(False)).alias("sure"))
+
+
+def _resolve(batches):
+    """Rows (address, name, kind, number, postcode, town, known, code, sure, first_code, first_exact, last_code, last_exact): `known` is the town of the
+    postcode, `code` that of the town. A town that was read as the first or last word of the street, as no comma stood between, is taken out of it."""
+    for batch in batches:
+        names, places = [], []
+        for name, code, town, known, own, sure, *ends in zip(*(batch.column(i).to_pylist() for i in (1, 4, 5, 6, 7, 8, 9, 10, 11, 12))):
+            words = name.split()
+            if not town and len(words) > 1:
+                for w, rest, c, exact in ((words[0], words[1:], *ends[:2]), (words[-1], words[:-1], *ends[2:])):
+                    if known and distance(w, known, bound(w, known)) <= bound(w, known) or c and (exact or len(w) > 5):
+                        name, town, own, sure = " ".join(rest), w, c, False
+                        break
+            if not code:
+                place = own or town
+            elif own and own != code and (not known or sure):
+                place = own  # the town is well known and has another postcode: the digits are mistyped
+            else:
+                place = code
+            names.append(name)
+            places.append(place)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), *batch.columns[2:4], pa.array(places, pa.string())], names=["address", "name", "kind", "number", "place"])
 
 
 def read(projects: DataFrame) -> DataFrame:
@@ -282,46 +301,41 @@ def read(projects: DataFrame) -> DataFrame:
     else the town as written; where neither is, the place all other addresses of that street and number agree on."""
     texts = projects.select(F.col("building_address").alias("address")).where("address is not null").distinct()
     p = stage(spread(texts, "address").mapInArrow(_parsed, "address string, name string, kind string, number string, postcode string, town string"))
-    n = F.col("n")
+    longest = F.expr("array_max(transform(split(town, ' '), w -> struct(length(w) as n, w as w))).w")
+    ends = F.when((F.col("town") == "") & F.col("name").contains(" "), F.col("name"))
+    p = p.withColumn("longest", longest).withColumn("first", F.substring_index(ends, " ", 1)).withColumn("last", F.substring_index(ends, " ", -1))
     seen = p.where("postcode <> '' and town <> ''").groupBy("postcode", "town").agg(F.count("*").alias("n"))
-    # the first towns of each postcode and the first postcode of each town are enough for the majorities
-    top = lambda part, other: F.row_number().over(Window.partitionBy(part).orderBy(F.desc("n"), F.desc(other)))
-    first = seen.withColumn("r1", top("postcode", "town")).withColumn("r2", top("town", "postcode")).where("r1 = 1 or (r2 = 1 and n >= 3)")
-    sent = projects.sparkSession.sparkContext.broadcast([(r["postcode"], r["town"], r["n"]) for r in first.select("postcode", "town", n).collect()])
-
-    def resolve(batches):
-        places = Places(sent.value)
-        for batch in batches:
-            rows = [(c, *places.part(n, c, t)) for n, c, t in zip(*(batch.column(i).to_pylist() for i in (1, 4, 5)))]
-            name, got = [n for _, n, _ in rows], [places.place(c, t) for c, _, t in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), *batch.columns[2:4], pa.array(got, pa.string())], names=["address", "name", "kind", "number", "place"])
-
-    r = stage(p.mapInArrow(resolve, "address string, name string, kind string, number string, place string"))
+    words = p.select(F.explode(F.array_distinct(F.array("town", "longest", "first", "last"))).alias("word")).where("word <> ''").distinct()
+    t = stage(_town_codes(stage(seen), words))
+    of = lambda c, *more: t.select(F.col("word").alias(c), F.col("code").alias(f"{c}_code"), *(F.col(m).alias(f"{c}_{m}") for m in more))
+    by_code = seen.groupBy("postcode").agg(F.max_by("town", F.struct("n", "town")).alias("known"))
+    j = p.join(by_code, "postcode", "left").join(of("town", "sure", "exact"), "town", "left").join(of("longest"), "longest", "left").join(of("first", "exact"), "first", "left").join(of("last", "exact"), "last", "left")
+    # a town of several words that isn't known as it stands is looked up by its longest word
+    code = F.when(F.col("town").contains(" ") & ~F.coalesce("town_exact", F.lit(False)), F.col("longest_code")).otherwise(F.col("town_code"))
+    j = j.select("address", "name", "kind", "number", "postcode", "town", "known", code.alias("code"), F.coalesce("town_sure", F.lit(False)).alias("sure"), "first_code", "first_exact", "last_code", "last_exact")
+    r = stage(j.mapInArrow(_resolve, "address string, name string, kind string, number string, place string"))
     only = r.where("place <> ''").groupBy("name", "number").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo = hi")
     return r.join(only, ["name", "number"], "left").select("address", "name", "kind", "number", F.when(F.col("place") != "", F.col("place")).otherwise(F.coalesce("lo", F.lit(""))).alias("place"))
 
 
 def _bands(batches):
-    """Rows (form, name, kind, number, place): one output row per band."""
+    """Rows (form): (band, form), one row per band. The shingles are the q-grams of the street and its tokens, the number and the
+    place among them."""
     for batch in batches:
-        form, name, kind, number, place = (c.to_pylist() for c in batch.columns)
-        out = [[], [], [], [], [], [], []]
-        for f, nm, k0, no, pl in zip(form, name, kind, number, place):
-            k = k0
-            if k in EITHER:
-                nm_, k = nm + EITHER[k][1][0], ""
-            else:
-                nm_ = nm
-            street = nm_.replace(" ", "") + ("str" if k in ("straede", "strasse", "street", "str") else k)
-            grams = {hash_text(street[i : i + Q]) for i in range(max(1, len(street) - Q + 1))}
-            x = np.fromiter(grams, np.uint64, len(grams))
+        forms = batch.column(0).to_pylist()
+        keys = []
+        for form in forms:
+            name, kind, number, place = form.split("|")
+            if kind in EITHER:
+                name, kind = name + EITHER[kind][1][0], ""
+            street = name.replace(" ", "") + ("str" if kind in ("straede", "strasse", "street", "str") else kind)
+            shingles = {hash_text(street[i : i + Q]) for i in range(max(1, len(street) - Q + 1))} | {hash_text(f"{p} {t}") for p, t in token_list((name, "", number, place))}
+            x = np.fromiter(shingles, np.uint64, len(shingles))
             with np.errstate(over="ignore"):
                 low = ((x[:, None] * _A + _B) >> np.uint64(3)).min(axis=0).reshape(BANDS, ROWS)
-                key = (low[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ low[:, 1]) * np.uint64(0xC2B2AE3D27D4EB4F) + np.arange(BANDS, dtype=np.uint64) + np.uint64(hash_text(no))
-            out[0] += key.astype(np.int64).tolist()
-            for c, v in zip(out[1:], (f, nm, k0, no, pl, street)):
-                c += [v] * BANDS
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:]))], names=["band", "form", "name", "kind", "number", "place", "street"])
+                key = (low[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ low[:, 1]) * np.uint64(0xC2B2AE3D27D4EB4F) + np.arange(BANDS, dtype=np.uint64) + np.uint64(hash_text(number))
+            keys.append(key.astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(forms, object), BANDS), pa.string())], names=["band", "form"])
 
 
 def hash_text(s: str) -> int:
@@ -339,10 +353,11 @@ def _link(batches):
     here, by_place = None, {}
     for batch in batches:
         out: list[tuple] = []
-        for band, salt, id_, *f in zip(*(c.to_pylist() for c in batch.columns)):
+        for band, salt, id_ in zip(*(c.to_pylist() for c in batch.columns)):
             if (band, salt) != here:
                 here, by_place = (band, salt), {}
-            form, place = tuple(f), f[3]
+            form = tuple(id_.split("|"))
+            place = form[3]
             mine = [[(id_, form)]]
             # digits must agree; those without a place come last
             for other in [place] if place[:1].isdigit() else list(by_place):
@@ -361,19 +376,16 @@ def _link(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(weak, pa.bool_())], names=["a", "b", "weak"])
 
 
-_BAND = "band long, form string, name string, kind string, number string, place string, street string"
-
-
 def place_classes(projects: DataFrame) -> DataFrame:
     """(address, class) of every address that denotes a place; the class is one of its forms."""
     r = stage(read(projects).withColumn("form", F.concat_ws("|", "name", "kind", "number", "place")))
-    forms = r.select("form", "name", "kind", "number", "place").distinct()
-    bands = stage(spread(forms, "form").mapInArrow(_bands, _BAND))
+    forms = r.select("form").distinct()
+    bands = stage(spread(forms, "form").mapInArrow(_bands, "band long, form string").withColumn("place", F.substring_index("form", "|", -1)))
     # a place is in one salt of its band, all places told by words in the first; forms without a place go to every salt there is
     bands = bands.withColumn("salt", F.when(F.col("place").rlike("^[0-9]"), F.pmod(F.xxhash64("place"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
     several = bands.groupBy("band").agg(F.count("*").alias("n"), F.array_union(F.array(F.lit(0).cast("long")), F.collect_set("salt")).alias("salts")).where("n > 1").select("band", "salts")
     bands = bands.join(several, "band").withColumn("salt", F.explode(F.when(F.col("place") == "", F.col("salts")).otherwise(F.array("salt"))))
-    rows = spread(bands, "band", "salt").sortWithinPartitions("band", "salt", F.col("place") == "", "form").select("band", "salt", "form", "name", "kind", "number", "place", "street")
+    rows = spread(bands, "band", "salt").sortWithinPartitions("band", "salt", F.col("place") == "", "form").select("band", "salt", "form")
     links = stage(rows.mapInArrow(_link, "a string, b string, weak boolean").distinct())
     c = components(links.where("not weak"))
     r = stage(r.join(c, r.form == c.node, "left").select("address", "form", F.coalesce("component", "form").alias("class")))
