@@ -287,8 +287,8 @@ def _resolve(batches):
                         break
             if not code:
                 place = own or town
-            elif own and own != code and (not known or sure):
-                place = own  # the town is well known and has another postcode: the digits are mistyped
+            elif own and own != code and (not known or sure and distance(town, known, bound(town, known)) > bound(town, known)):
+                place = own  # the town is well known and has another postcode, which isn't one of several: the digits are mistyped
             else:
                 place = code
             names.append(name)
