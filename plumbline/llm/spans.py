@@ -8,10 +8,14 @@ Streaming every document against every shard would grow with the square of the c
 each window of `length` characters belongs to its minimizer, the k-gram with the smallest hash in it. Equal windows have
 equal minimizers, so all text that can match comes together by the minimizer's hash, and only there. Windows that follow
 one another under one minimizer are one piece of text. Minimizers that only one document has are dropped before any
-text is moved. Pieces that several documents share verbatim are merged before they are indexed, whatever their number.
+text is moved. Pieces of equal text are one text of the index, whatever their number (the texts are compared, not
+hashes of them); if they are of several documents it differs from every owner, itself too. All windows that are reported
+are found by streaming the texts through the index.
 
-A minimizer with more than HOT_PIECES different pieces would make a shard too large. Its windows are counted one by one
-instead, by two independent 64-bit hashes with a map-side combine; that is spread over all tasks however hot it is.
+A minimizer with more than HOT_PIECES different texts would make a shard too large. It is split by the characters beside
+it: windows that hold the minimizer further to the left or to the right are told apart, and each half is keyed by all
+characters that its windows have in common, which are more than the minimizer. Halves that are still too hot are split again;
+after seven times the key is the whole window.
 
 Defined results
 * a window counts as shared if its characters (code points, case, blanks and line ends) stand in another doc_id too;
@@ -26,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.fmindex import FMIndex, neighbour_lcp, smaller_neighbours
@@ -36,8 +40,8 @@ LENGTH = 150
 #: Characters of a minimizer; characters in one index; distinct pieces of one minimizer that are still indexed together;
 #: characters of one batch and of one chunk of a long text.
 GRAM, SHARD_CHARS, HOT_PIECES, BATCH_CHARS, CHUNK_CHARS = 80, 600_000, 1_500, 2_000_000, 1_000_000
-_MUL, _MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_PIECE = "anchor long, doc_id long, at long, piece string"
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+_PIECE = "anchor long, doc_id long, at long, off int, low int, high int, piece string"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,10 +97,10 @@ def _texts(batches):
 
 
 def _runs(codes: np.ndarray, where: list, length: int):
-    """The pieces of a batch: arrays (document index, first window, last window, minimizer hash)."""
+    """The pieces of a batch: arrays (document index, first window, last window, minimizer hash, minimizer position)."""
     none = np.zeros(0, np.int64)
     if len(codes) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     grams = window_hashes(codes, GRAM)
     # the low bits give way to the position, so the leftmost of equal k-grams wins, wherever the text stands
     key = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
@@ -108,17 +112,17 @@ def _runs(codes: np.ndarray, where: list, length: int):
     inside &= (np.arange(len(low)) - starts[doc]) < CHUNK_CHARS
     at = np.flatnonzero(inside)
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, none
     new = np.ones(len(at), bool)
     new[1:] = (low[at][1:] != low[at][:-1]) | (doc[at][1:] != doc[at][:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return doc[at[first]], at[first], at[last], grams[low[at[first]]].astype(np.int64)
+    return doc[at[first]], at[first], at[last], grams[low[at[first]]].astype(np.int64), low[at[first]]
 
 
 def _anchors(batches):
     for codes, where in _texts(batches):
-        doc, _, _, anchor = _runs(codes, where, LENGTH)
+        doc, _, _, anchor, _ = _runs(codes, where, LENGTH)
         ids = np.array([w[0] for w in where], np.int64)[doc]
         both = np.unique(np.stack([anchor, ids]), axis=1) if len(ids) else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["anchor", "doc_id"])
@@ -135,15 +139,35 @@ def _pieces(batches):
                 code = lambda d, a: _mix(d.astype(np.uint64) * _MUL + a.astype(np.uint64))
                 keep = np.sort(code(wanted[:, 0], wanted[:, 1]))
                 for codes, where in _texts([part.select([0, 1])]):
-                    doc, first, last, anchor = _runs(codes, where, LENGTH)
+                    doc, first, last, anchor, gram = _runs(codes, where, LENGTH)
                     ids = np.array([w[0] for w in where], np.int64)[doc]
                     hit = np.isin(code(ids, anchor), keep)
-                    doc, first, last, anchor, ids = doc[hit], first[hit], last[hit], anchor[hit], ids[hit]
+                    doc, first, last, anchor, gram, ids = doc[hit], first[hit], last[hit], anchor[hit], gram[hit], ids[hit]
                     origin = np.array([w[2] - w[1] for w in where], np.int64)[doc]
                     for j in range(0, len(doc), 4_000):
                         s = slice(j, j + 4_000)
                         text = [codes[a : b + LENGTH].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(first[s], last[s])]
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor[s]), pa.array(ids[s]), pa.array((first + origin)[s]), pa.array(text)], names=["anchor", "doc_id", "at", "piece"])
+                        n = len(text)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(anchor[s]), pa.array(ids[s]), pa.array((first + origin)[s]), pa.array((gram - first)[s].astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, LENGTH - GRAM, np.int32)), pa.array(text)],
+                            names=["anchor", "doc_id", "at", "off", "low", "high", "piece"])
+
+
+def _halves(batches):
+    """Pieces under too hot a key, whose windows hold the minimizer `low` to `high` characters from their start: the same windows as
+    two pieces, each keyed by what all windows of its range have in common."""
+    for batch in batches:
+        out = []
+        for _, doc, at, off, low, high, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            mid = (low + high) // 2
+            for a, b in ((low, mid), (mid + 1, high)):
+                i, j = max(0, off - b), min(len(piece) - LENGTH, off - a)  # first and last window of the range
+                if a <= b and i <= j:
+                    common = np.frombuffer(piece[off - a : off - b + LENGTH].encode("utf-32-le", "surrogatepass"), np.uint32)
+                    key = window_hashes(common, len(common), _MUL + np.uint64(2 * (a * 1_000 + b)))[0]
+                    out.append((key.astype(np.int64), doc, at + i, off - i, a, b, piece[i : j + LENGTH]))
+        cols = list(zip(*out)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["anchor", "doc_id", "at", "off", "low", "high", "piece"])
 
 
 def matching_windows(pieces: list[str], owner: np.ndarray, length: int) -> list[np.ndarray]:
@@ -167,7 +191,7 @@ def matching_windows(pieces: list[str], owner: np.ndarray, length: int) -> list[
     change = np.flatnonzero(own[1:] != own[:-1]) + 1
     other = np.append(change, n)[np.searchsorted(change, np.arange(n), side="right")]  # the next row of another owner
     flags = np.zeros(len(codes), bool)
-    live = np.flatnonzero(owner >= 0)
+    live = np.arange(len(owner))
     at = sizes[live] - 1
     lo, hi, got = np.zeros(len(live), np.int64), np.full(len(live), n, np.int64), np.zeros(len(live), np.int64)
     while len(live):
@@ -175,7 +199,7 @@ def matching_windows(pieces: list[str], owner: np.ndarray, length: int) -> list[
         a, b = fm.step(c, lo, hi)
         mine = owner[live]
         safe = np.minimum(a, n - 1)
-        ok = (a < b) & ((own[safe] != mine) | (other[safe] < b))
+        ok = (a < b) & ((mine < 0) | (own[safe] != mine) | (other[safe] < b))
         # longer: take the step; at full length fall back to all suffixes with that window
         lo, hi, got = np.where(ok, a, lo), np.where(ok, b, hi), got + ok
         full = ok & (got >= length)
@@ -211,7 +235,7 @@ def _index(batches):
     def finish():
         number: dict[int, int] = {}  # from 0 in each shard, as ids may be negative
         owner = np.array([-1 if r[2] is None else number.setdefault(r[2], len(number)) for r in rows], np.int64)
-        out = matching_windows([r[3] for r in rows], owner, LENGTH) if len(rows) > 1 else [np.zeros(0, np.int64)] * len(rows)
+        out = matching_windows([r[3] for r in rows], owner, LENGTH)
         hits = [(r[0], r[1], a, b) for r, w in zip(rows, out) for a, b in _as_ranges(w)]
         cols = list(zip(*hits)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "code", "first", "last"])
@@ -227,14 +251,23 @@ def _index(batches):
         yield finish()
 
 
-def _window_codes(batches):
-    for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            codes = np.frombuffer(r[3].encode("utf-32-le", "surrogatepass"), np.uint32)
-            a, b = window_hashes(codes, LENGTH).astype(np.int64), window_hashes(codes, LENGTH, _MUL2).astype(np.int64)
-            m = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, r[0])), pa.array(np.full(m, r[1])), pa.array([r[2]] * m, pa.int64()), pa.array(np.arange(m)), pa.array(a), pa.array(b)],
-                                             names=["anchor", "code", "owner", "first", "h1", "h2"])
+def piece_code(piece) -> Column:
+    return F.xxhash64(piece, F.lit(7))
+
+
+def _texts_of(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different texts of pieces (anchor, code, owner, piece), owner null if several documents have it, and the pieces with
+    the code of their text. Texts are grouped by themselves; `code` names one under its anchor, and where two have
+    the same code, the texts of the anchor are numbered instead."""
+    texts = stage(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).select(
+        "anchor", piece_code(F.col("piece")).alias("code"), F.when(F.col("a") == F.col("b"), F.col("a")).alias("owner"), "piece"))
+    twins = stage(texts.groupBy("anchor", "code").agg(F.count("*").alias("n")).where("n > 1").select("anchor").distinct())
+    pieces = pieces.withColumn("code", piece_code(F.col("piece")))
+    if not twins.limit(1).count():
+        return texts, pieces
+    told = texts.join(twins, "anchor", "left_semi").select("anchor", "piece", F.row_number().over(Window.partitionBy("anchor").orderBy("code", "piece")).cast("long").alias("no"))
+    both = lambda df: df.join(told, ["anchor", "piece"], "left").withColumn("code", F.coalesce("no", "code")).drop("no")
+    return stage(both(texts).select("anchor", "code", "owner", "piece")), both(pieces)
 
 
 def shared_windows(documents: DataFrame) -> DataFrame:
@@ -242,25 +275,25 @@ def shared_windows(documents: DataFrame) -> DataFrame:
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= LENGTH)
     found = stage(docs.mapInArrow(_anchors, "anchor long, doc_id long"))  # read twice; hashing the texts twice would cost more
     several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
+    # a document's minimizers are fewer than its characters, which are in one row too
     wanted = found.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    pieces = stage(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_pieces, _PIECE).withColumn("code", F.xxhash64("piece", F.lit(7))))
-    # the text of a piece once, with its owner, or null for several
-    texts = stage(pieces.groupBy("anchor", "code").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("piece").alias("piece")).select(
-        "anchor", "code", F.when(F.col("a") == F.col("b"), F.col("a")).alias("owner"), "piece"))
-    n = texts.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("owner").isNull()).alias("multi"), F.min("owner").alias("a"), F.max("owner").alias("b"), F.sum(F.length("piece")).alias("chars"))
-    # a minimizer whose pieces all have one owner, or one piece, has nothing to search for
-    n = stage(n.where("n > 1 and n > multi and (multi > 0 or a <> b)"))
-    hot, rest = n.where(F.col("n") > HOT_PIECES).select("anchor"), n.where(F.col("n") <= HOT_PIECES)
-    chars = rest.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
-    cols = ["anchor", "code", "owner", "piece"]
-    shards = texts.join(rest.select("anchor"), "anchor", "left_semi").select(*cols).repartition(max(1, math.ceil(chars / SHARD_CHARS)), "anchor").sortWithinPartitions("anchor")
-    hits = shards.mapInArrow(_index, "anchor long, code long, first long, last long")
-    w = texts.join(hot, "anchor", "left_semi").select(*cols).mapInArrow(_window_codes, "anchor long, code long, owner long, first long, h1 long, h2 long")
-    shared = w.groupBy("h1", "h2").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.count_if(F.col("owner").isNull()).alias("multi")).where("multi > 0 or a <> b").select("h1", "h2")
-    hits = hits.unionByName(w.where("owner is not null").join(shared, ["h1", "h2"], "left_semi").select("anchor", "code", "first", F.col("first").alias("last")))
-    whole = texts.where("owner is null").select("anchor", "code", F.lit(0).cast("long").alias("first"), (F.length("piece") - LENGTH).cast("long").alias("last"))
-    hits = hits.unionByName(whole)
-    return pieces.select("anchor", "code", "doc_id", "at").join(hits, ["anchor", "code"]).select("doc_id", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
+    pieces = stage(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_pieces, _PIECE))
+    out = None
+    while True:
+        texts, coded = _texts_of(pieces)
+        n = texts.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("owner").isNull()).alias("multi"), F.min("owner").alias("a"), F.max("owner").alias("b"), F.sum(F.length("piece")).alias("chars"))
+        # a minimizer whose pieces all have one owner has nothing to search for
+        n = stage(n.where("multi > 0 or a <> b"))
+        got = n.agg(F.coalesce(F.sum(F.when(F.col("n") <= HOT_PIECES, F.col("chars"))), F.lit(0)).alias("chars"), F.count_if(F.col("n") > HOT_PIECES).alias("hot")).first()
+        shards = texts.join(n.where(F.col("n") <= HOT_PIECES).select("anchor"), "anchor", "left_semi").select("anchor", "code", "owner", "piece")
+        shards = shards.repartition(max(1, math.ceil(got["chars"] / SHARD_CHARS)), "anchor").sortWithinPartitions("anchor")
+        hits = shards.mapInArrow(_index, "anchor long, code long, first long, last long")
+        here = coded.select("anchor", "code", "doc_id", "at").join(hits, ["anchor", "code"]).select("doc_id", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
+        out = here if out is None else out.unionByName(here)
+        if not got["hot"]:
+            return out
+        hot = pieces.join(n.where(F.col("n") > HOT_PIECES).select("anchor"), "anchor", "left_semi")
+        pieces = stage(hot.select(*[c.split()[0] for c in _PIECE.split(", ")]).mapInArrow(_halves, _PIECE))
 
 
 def shared_spans(documents: DataFrame) -> DataFrame:

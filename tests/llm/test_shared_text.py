@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import fmindex, leakage, spans
 
@@ -107,6 +108,27 @@ def test_shared_windows_against_brute_force(spark, monkeypatch, small):
     assert dict(got) == covered(docs)
 
 
+def test_texts_of_equal_code_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(spans, "piece_code", lambda piece: F.lit(7).cast("long"))
+    got = defaultdict(set)
+    for r in spans.shared_windows(spark.createDataFrame(texts(5), "doc_id long, text string")).collect():
+        got[r["doc_id"]] |= set(range(r["first"], r["last"] + 1))
+    assert dict(got) == covered(texts(5))
+
+
+def test_hot_minimizer_is_split(spark, monkeypatch):
+    """One stretch of 80 characters stands in all documents, with other characters around it in most."""
+    monkeypatch.setattr(spans, "HOT_PIECES", 8)
+    rng = random.Random(9)
+    new = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, sides = new(100), [(new(60), new(60)) for _ in range(6)]
+    docs = [(i, new(40) + (a := rng.choice(sides))[0][rng.randrange(40) :] + core + rng.choice([a[1], new(60)])[: rng.randrange(20, 60)] + new(40)) for i in range(80)]
+    got = defaultdict(set)
+    for r in spans.shared_windows(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r["doc_id"]] |= set(range(r["first"], r["last"] + 1))
+    assert dict(got) == covered(docs) and len(got) > 20
+
+
 def test_negative_ids_share_windows(spark):
     docs = [(-1 - i, t) for i, t in texts(5)]
     got = defaultdict(set)
