@@ -1,7 +1,8 @@
 """References to records that do not exist (problem 6).
 
 Method: every reference is checked against the table it points to; then a fixpoint cascade treats the children of
-orphaned records as orphaned too, by semi-joins down the foreign-key graph until no new record is found.
+orphaned records as orphaned too, by semi-joins down the foreign-key graph (any number of tables, several parents of
+a record) until no new record is found.
 
 Defined results
 * a null reference, or one equal to a `none_values` entry, is no reference;
@@ -86,54 +87,58 @@ def direct_orphans(tables: dict[str, DataFrame], references: Sequence[Reference]
 
 
 def cascade(tables: dict[str, DataFrame], references: Sequence[Reference] = PROJECT_REFERENCES) -> DataFrame:
-    """The report of direct orphans (`origin` direct, hops 0) and of those below them (`origin` inherited; `hops` is
+    """The report of direct orphans (`origin` direct, hops 0) and of all rows below them (`origin` inherited; `hops` is
     the distance to the nearest direct orphan above; `orphan_kind` that of the reference that broke, the first in
     the alphabet where two breaks are equally near). A direct orphan is not also inherited.
 
-    A chain of n records must not take n rounds: where a table refers to itself, the orphan state is passed down by
-    pointer doubling over the parent links, so the fixpoint is reached in about log2 of the longest chain."""
+    The references may form any graph of tables, loops included, and a record may have several parents: a row is inherited
+    if the record it refers to is an orphan of either origin."""
     direct = stage(direct_orphans(tables, references))
     cols = ["child_table", "ref_id", "child_no", "period_ym", "orphan_kind"]
     out = direct.select(*cols, F.lit("direct").alias("origin"), F.lit(0).alias("hops"))
+    number = {n: i for i, n in enumerate(sorted({n for r in references for n in (r.child, r.parent)}))}
+    keyed = [r for r in references if r.child_key and any(o.parent == r.child for o in references)]
+    if not keyed:
+        return out
+    links = sick = None
+    for r in keyed:
+        tab = F.lit(number[r.child]).alias("tab")
+        link = _children(tables, r).where("child_key is not null").select(tab, F.col("child_key").alias("key"), F.lit(number[r.parent]).alias("up_tab"), F.col("ref_id").alias("up"))
+        root = direct.where((F.col("child_table") == r.child) & F.col("child_key").isNotNull()).select(tab, F.col("child_key").alias("key"), "orphan_kind")
+        links, sick = (link, root) if links is None else (links.unionByName(link), sick.unionByName(root))
+    state = _nearest(links.distinct(), sick.groupBy("tab", "key").agg(F.min("orphan_kind").alias("orphan_kind")))
+    below = None
     for r in references:
-        if not (r.child_key and r.child == r.parent):
-            continue
-        state = _inherit(direct.where(F.col("child_table") == r.child), _children(tables, r))
-        rows = (
-            _children(tables, r).join(state, "child_key")
-            .select(F.lit(r.child).alias("child_table"), "ref_id", "child_no", F.date_format("made_at", "yyyy-MM").alias("period_ym"), "orphan_kind", F.lit("inherited").alias("origin"), "hops")
-            .distinct()
-        )
-        out = out.unionByName(rows)
-        for other in references:
-            if other is not r and other.parent == r.parent and other.child != r.child:
-                sick = state.select(F.col("child_key").alias("ref_id"), "orphan_kind", (F.col("hops") + 1).alias("hops")).unionByName(
-                    direct.where(F.col("child_table") == r.child).groupBy(F.col("child_key").alias("ref_id")).agg(F.min("orphan_kind").alias("orphan_kind")).withColumn("hops", F.lit(1)))
-                rows = _children(tables, other).join(sick, "ref_id").select(
-                    F.lit(other.child).alias("child_table"), "ref_id", "child_no", F.date_format("made_at", "yyyy-MM").alias("period_ym"), "orphan_kind", F.lit("inherited").alias("origin"), "hops").distinct()
-                out = out.unionByName(rows.join(direct.select("child_table", "ref_id", "child_no"), ["child_table", "ref_id", "child_no"], "left_anti"))
-    return out
-
-
-def _inherit(direct: DataFrame, children: DataFrame) -> DataFrame:
-    """(child_key, orphan_kind, hops) of the records below the direct orphans of their own table.
-
-    Round k holds, for every record not yet decided, the ancestor 2^k links up; a record whose ancestor is decided
-    inherits its state. Records are unique per key and a record is only a lookup target once, so no group grows."""
-    sick = direct.where("child_key is not null").groupBy("child_key").agg(F.min("orphan_kind").alias("orphan_kind"))
-    links = children.where("child_key is not null").groupBy("child_key").agg(F.min("ref_id").alias("up"))
-    # every record carries (nearest decided ancestor among the first `span` links, pointer `span` links up)
-    state = stage(links.join(sick, "child_key", "left").select(
-        "child_key", F.when(F.col("orphan_kind").isNull(), F.col("up")).alias("up"), "orphan_kind", F.when(F.col("orphan_kind").isNotNull(), 0).alias("hops"), F.lit(1).cast("long").alias("span")))
+        rows = _children(tables, r).join(state.where(F.col("tab") == number[r.parent]).select(F.col("key").alias("ref_id"), "orphan_kind", "hops"), "ref_id").select(
+            F.lit(r.child).alias("child_table"), "ref_id", "child_no", F.date_format("made_at", "yyyy-MM").alias("period_ym"), "orphan_kind", F.lit("inherited").alias("origin"), (F.col("hops") + 1).cast("int").alias("hops"))
+        below = rows if below is None else below.unionByName(rows)
+    return out.unionByName(below.distinct().join(direct.select("child_table", "ref_id", "child_no"), ["child_table", "ref_id", "child_no"], "left_anti").select(*out.columns))
+
+
+def _nearest(links: DataFrame, sick: DataFrame) -> DataFrame:
+    """(tab, key, orphan_kind, hops) of the direct orphans (sick) and of all records that reach one over the links (tab, key, up_tab, up).
+
+    The fixpoint of semi-joins down the links, taken in doubled steps, as chains are hundreds of links long: in round k every record
+    not yet decided holds its ancestors 2^k links up; if one is decided, so is the record; else it takes over their ancestors.
+    A record without decided or further ancestors is sound and drops out."""
+    key = ["tab", "key"]
+    found = [stage(sick.select(*key, "orphan_kind", F.lit(0).cast("long").alias("hops")))]
+    open_ = stage(links.join(found[0], key, "left_anti"))
+    span = 1
     while True:
-        t = state.select(F.col("child_key").alias("up"), F.col("up").alias("t_up"), F.col("orphan_kind").alias("t_kind"), F.col("hops").alias("t_hops"), F.col("span").alias("t_span"))
-        open_ = F.col("up").isNotNull()
-        new = stage(state.where(~open_).unionByName(state.where(open_).join(t, "up", "left").select(
-            "child_key", F.when(F.col("t_kind").isNull(), F.col("t_up")).alias("up"), F.col("t_kind").alias("orphan_kind"),
-            (F.col("span") + F.col("t_hops")).cast("int").alias("hops"), (F.col("span") + F.coalesce("t_span", F.lit(0))).cast("long").alias("span"))))
-        unstage(state)
-        state = new
-        # a record on a sound loop never meets an orphan: it is over once its pointer has gone round farther than there are open records
-        left = state.where("up is not null").agg(F.count("*").alias("n"), F.min("span").alias("s")).first()
-        if left["n"] == 0 or left["s"] > left["n"]:
-            return state.where("orphan_kind is not null and hops > 0").select("child_key", "orphan_kind", "hops")
+        known = found[0]
+        for more in found[1:]:
+            known = known.unionByName(more)
+        up = known.select(F.col("tab").alias("up_tab"), F.col("key").alias("up"), F.struct((F.col("hops") + span).alias("hops"), "orphan_kind").alias("got"))
+        new = stage(open_.join(up, ["up_tab", "up"]).groupBy(*key).agg(F.min("got").alias("got")).select(*key, "got.orphan_kind", "got.hops"))
+        then = open_.select(F.col("tab").alias("up_tab"), F.col("key").alias("up"), F.col("up_tab").alias("next_tab"), F.col("up").alias("next"))
+        further = stage(open_.join(new, key, "left_anti").join(then, ["up_tab", "up"]).select(*key, F.col("next_tab").alias("up_tab"), F.col("next").alias("up")).distinct())
+        unstage(open_)
+        found.append(new)
+        open_, span = further, span * 2
+        # records farther away have ancestors at every smaller distance, so a round that decides none is the last; this also ends sound loops
+        if not new.limit(1).count() or not open_.limit(1).count():
+            out = found[0]
+            for more in found[1:]:
+                out = out.unionByName(more)
+            return out

@@ -87,25 +87,37 @@ _CLOUD_ORPHANS = """
     where cloud_id is not null and (p.id is null or recorded_at > deleted or recorded_at < created)"""
 
 
-@R.query("p6_found", f"""
-    with p as (select id, min(created_at) as created, case when count(*) = count(deleted_at) then max(deleted_at) end as deleted from point_clouds group by id),
+_DIRECT = f"""
+    p as (select id, min(created_at) as created, case when count(*) = count(deleted_at) then max(deleted_at) end as deleted from point_clouds group by id),
     b as (select id, min(created_at) as created from building_components group by id),
     x as ({_CLOUD_ORPHANS.format(t="point_cloud_data", no="chunk_index")}
     union all {_CLOUD_ORPHANS.format(t="label_definitions", no="label_id")}
     union all
     select 'building_components', c.parent_id, c.id, strftime(c.created_at, '%Y-%m'), case when b.id is null then 'missing' else 'late' end
-    from building_components c left join b on b.id = c.parent_id where c.parent_id <> -1 and (b.id is null or c.created_at < b.created))
-    select distinct * from x""")
+    from building_components c left join b on b.id = c.parent_id where c.parent_id <> -1 and (b.id is null or c.created_at < b.created))"""
+
+#: The distance of a component to the nearest direct orphan above it, step by step.
+_CASCADE = f"""with recursive {_DIRECT},
+    l as (select distinct id, parent_id as up from building_components where id is not null and parent_id is not null and parent_id <> -1),
+    k as (select child_no as id, min(orphan_kind) as kind from x where child_table = 'building_components' and child_no is not null group by child_no),
+    s as (select id, kind, 0 as hops from k union select l.id, s.kind, s.hops + 1 from s join l on l.up = s.id where l.id not in (select id from k) and s.hops < 10000),
+    n as (select id, min(hops) as hops, arg_min(kind, (hops, kind)) as kind from s group by id),
+    w as (select distinct * from (select child_table, ref_id, child_no, period_ym, orphan_kind, 'direct' as origin, 0 as hops from x
+        union all select 'building_components', c.parent_id, c.id, strftime(c.created_at, '%Y-%m'), n.kind, 'inherited', n.hops + 1 from building_components c join n on n.id = c.parent_id
+        where (c.parent_id, c.id) not in (select ref_id, child_no from x where child_table = 'building_components' and child_no is not null)))"""
+
+
+@R.query("p6_found", f"with {_DIRECT} select distinct * from x")
 def p6_found(spark, d):
     return _orphans(spark, d).where("origin = 'direct'").select("child_table", "ref_id", "child_no", "period_ym", "orphan_kind")
 
 
-@R.query("p6_cascade")
+@R.query("p6_cascade", f"{_CASCADE} select * from w")
 def p6_cascade(spark, d):
     return _orphans(spark, d)
 
 
-@R.query("p6_periods")
+@R.query("p6_periods", f"{_CASCADE} select child_table, period_ym, orphan_kind, origin, count(*) as n_orphans from w group by all")
 def p6_periods(spark, d):
     return _orphans(spark, d).groupBy("child_table", "period_ym", "orphan_kind", "origin").agg(F.count("*").alias("n_orphans"))
 

@@ -142,3 +142,31 @@ def test_direct_and_inherited_orphans(spark):
         ("building_components", 1, 2, "2024-01", "missing", "inherited", 1), ("building_components", 2, 3, "2024-01", "missing", "inherited", 2),
     }
     assert orphans.cascade({k: v.limit(0) for k, v in tables.items()}).count() == 0
+
+
+def test_cascade_over_three_tables(spark):
+    """site <- house (two parents each) <- room <- room, and keys; a loop of rooms that is sound and one that hangs on an orphan."""
+    at, R = T(2024, 1, 1), orphans.Reference
+    refs = (R("house", "site", "id", "made", "site", created_at="made", child_key="id"), R("house", "owner", "id", "made", "owner", created_at="made", child_key="id"),
+            R("room", "house", "id", "made", "house", created_at="made", child_key="id"), R("room", "up", "id", "made", "room", created_at="made", child_key="id"),
+            R("keys", "room", "no", "made", "room", created_at="made"))
+    tables = {
+        "site": spark.createDataFrame([(1, at)], "id long, made timestamp_ntz"), "owner": spark.createDataFrame([(1, at)], "id long, made timestamp_ntz"),
+        "house": spark.createDataFrame([(10, 1, 1, at), (11, 1, 9, at), (12, None, None, at)], "id long, site long, owner long, made timestamp_ntz"),
+        # room 3 stands twice, under a sound and under an orphaned room; 6 and 7 are a loop; 8 and 9 are one below room 4
+        "room": spark.createDataFrame([(1, 10, None, at), (2, 11, None, at), (3, None, 1, at), (3, None, 2, at), (4, None, 3, at), (6, None, 7, at), (7, None, 6, at), (8, None, 9, at), (9, None, 8, at), (9, None, 4, at)], "id long, house long, up long, made timestamp_ntz"),
+        "keys": spark.createDataFrame([(1, 100, at), (4, 101, at), (6, 102, at), (8, 103, at), (77, 104, at)], "room long, no long, made timestamp_ntz"),
+    }
+    got = {tuple(r)[:3] + (r["orphan_kind"], r["origin"], r["hops"]) for r in orphans.cascade(tables, refs).collect()}
+    assert got == {
+        ("house", 9, 11, "missing", "direct", 0), ("keys", 77, 104, "missing", "direct", 0), ("room", 11, 2, "missing", "inherited", 1),
+        ("room", 2, 3, "missing", "inherited", 2), ("room", 3, 4, "missing", "inherited", 3), ("keys", 4, 101, "missing", "inherited", 4),
+        ("room", 4, 9, "missing", "inherited", 4), ("room", 9, 8, "missing", "inherited", 5), ("keys", 8, 103, "missing", "inherited", 6), ("room", 8, 9, "missing", "inherited", 6),
+    }
+
+
+def test_cascade_down_a_long_chain(spark):
+    at = T(2024, 1, 1)
+    r = orphans.Reference("c", "up", "id", "made", "c", created_at="made", child_key="id")
+    got = orphans.cascade({"c": spark.createDataFrame([(i, i - 1, at) for i in range(1, 301)], "id long, up long, made timestamp_ntz")}, (r,)).collect()
+    assert sorted((x["child_no"], x["hops"]) for x in got) == [(i, i - 1) for i in range(1, 301)]
