@@ -111,4 +111,4 @@ def clean(text: str) -> str:
 
 
 def scalar_text(value) -> str:
-    return clean(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
+    return clean(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True))

@@ -13,6 +13,7 @@ Defined results
   earlier file, `b` in the later one) has the same, and there is at least one; of several partners the one with more
   such nodes, then the smaller name, is taken, and only if both sides choose each other;
 * several types of a field in one file: the set of types is compared;
+* changes at nested paths are told alternative by alternative (`path_changes`), and beside the version table's entries (`described`);
 * rows with a null series or file, and payloads that are no JSON object, are left out (the file still counts as one);
 * empty tables give empty results.
 """
@@ -52,6 +53,62 @@ def observations(records: DataFrame) -> DataFrame:
     return e.select("series_id", "file_id", "row_no", "node_id", "field", "kind", _canonical(F.col("v"), F.col("kind")).alias("canonical"), F.when(F.col("kind").isNotNull(), F.to_json("v")).alias("raw"))
 
 
+def path_kinds(records: DataFrame, levels: int = 16) -> DataFrame:
+    """(series_id, file_id, path, kind): the tagged union of each file at every nested path, such as `height.value` or `tags[]`; arrays and objects are
+    kinds themselves. Paths below `levels` levels are told by the kind of the last one only."""
+    r = records.where("series_id is not null and file_id is not null").select("series_id", "file_id", F.try_parse_json("payload").alias("doc"))
+    none = F.array().cast("array<variant>")
+    item = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+
+    def below(x: Column) -> Column:
+        fields = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: item(F.concat(x["path"], F.when(x["path"] == "", "").otherwise("."), e["key"]), e["value"]))
+        return F.coalesce(fields, F.transform(F.coalesce(F.try_variant_get(x["v"], "$", "array<variant>"), none), lambda v: item(F.concat(x["path"], F.lit("[]")), v)))
+
+    r = r.where(F.schema_of_variant("doc").startswith("OBJECT")).withColumn("c0", F.array(item(F.lit(""), F.col("doc"))))
+    for d in range(1, levels + 1):  # one projection a level
+        r = r.withColumn(f"c{d}", F.flatten(F.transform(f"c{d - 1}", below)))
+    kinds = F.concat(*(F.transform(f"c{d}", lambda x: F.struct(x["path"].alias("path"), _kind(x["v"]).alias("kind"))) for d in range(1, levels + 1)))
+    return r.select("series_id", "file_id", F.explode(F.array_distinct(kinds)).alias("x")).select("series_id", "file_id", "x.path", "x.kind").where("kind is not null").distinct()
+
+
+def path_changes(records: DataFrame) -> DataFrame:
+    """(series_id, file_id, path, kind, change): each alternative (kind at a nested path) that a file has and the one before it in its series hasn't
+    (`appears`), or the other way round (`goes`)."""
+    files = stage(file_order(records))
+    k = stage(path_kinds(records).join(files, ["series_id", "file_id"]).select("series_id", "seq", "path", "kind"))
+    step = ["series_id", "seq", "path", "kind"]
+    before = k.withColumn("seq", F.col("seq") + 1)
+    appears = k.where("seq > 1").join(before, step, "left_anti").withColumn("change", F.lit("appears"))
+    goes = before.join(k, step, "left_anti").withColumn("change", F.lit("goes"))
+    return appears.unionByName(goes).join(files, ["series_id", "seq"]).select("series_id", "file_id", "path", "kind", "change")
+
+
+def described(records: DataFrame, versions: DataFrame) -> DataFrame:
+    """Changes beside the entries of the version table that tell them: (series_id, file_id, change_kind, field_before, field_after, version, description,
+    status). An entry (columns series_id, version, applied_at, description) belongs to the first file exported at or after it was applied, and tells a change if its description has the name of
+    the field before or after it as a word. `status` is `described`, `undescribed` for a change without an entry that tells it, `entry_only` for an
+    entry that tells no change (the columns of the other side are null then). Repeated entries count once."""
+    at = records.where("series_id is not null and file_id is not null").groupBy("series_id", "file_id").agg(F.min("exported_at").alias("at"))
+    files = stage(at.select("series_id", "file_id", "at", F.row_number().over(Window.partitionBy("series_id").orderBy("at", "file_id")).cast("long").alias("seq")))
+    v = versions.where("series_id is not null").select("series_id", F.col("version").cast("string").alias("version"), "applied_at", "description").distinct()
+    # entries and files of a series in one order of time; an entry before a file of the same time
+    line = v.select("series_id", F.col("applied_at").alias("at"), F.lit(0).alias("is_file"), F.lit(None).cast("long").alias("seq"), "version", "description").unionByName(
+        files.select("series_id", "at", F.lit(1).alias("is_file"), "seq", F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("description")))
+    after = Window.partitionBy("series_id").orderBy("at", "is_file", "seq").rowsBetween(0, Window.unboundedFollowing)
+    v = line.withColumn("to", F.first("seq", ignorenulls=True).over(after)).where("is_file = 0").select("series_id", F.col("to").alias("seq"), "version", "description")
+    v = stage(v.withColumn("words", F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce("description", F.lit(""))), "[^a-z0-9_]+", " "), F.lit(" "))))
+    c = stage(changes(records).select("series_id", "file_id", "change_kind", "field_before", "field_after").join(files.select("series_id", "file_id", "seq"), ["series_id", "file_id"]))
+    said = lambda f: (F.col(f) != "") & F.col("words").contains(F.concat(F.lit(" "), F.lower(f), F.lit(" ")))
+    told = stage(c.join(v, ["series_id", "seq"]).where(said("field_before") | said("field_after")))
+    cols = ["series_id", "file_id", "change_kind", "field_before", "field_after", "version", "description", "status"]
+    null = lambda d, *names: d.withColumns({n: F.lit(None).cast("string") for n in names})
+    one = told.withColumn("status", F.lit("described"))
+    two = null(c.join(told.select("series_id", "file_id", "change_kind", "field_before", "field_after").distinct(), ["series_id", "file_id", "change_kind", "field_before", "field_after"], "left_anti"), "version", "description").withColumn("status", F.lit("undescribed"))
+    key = [v[k].eqNullSafe(told[k]) for k in ("series_id", "seq", "version", "description")]
+    three = null(v.join(told, key[0] & key[1] & key[2] & key[3], "left_anti"), "file_id", "change_kind", "field_before", "field_after").withColumn("status", F.lit("entry_only"))
+    return one.select(*cols).unionByName(two.select(*cols)).unionByName(three.select(*cols)).distinct()
+
+
 def file_order(records: DataFrame) -> DataFrame:
     """(series_id, file_id, seq): the position of each file in its series, from 1. One row per file is sorted, not
     one per record."""

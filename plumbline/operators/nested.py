@@ -1,9 +1,11 @@
 """Deeply nested semi-structured records (problem 5).
 
-Method: a merged schema is inferred over all records; each array level is exploded recursively into a child table
-whose rows carry the surrogate key of their parent and their ordinal in the array. Nesting has no known depth (a
-property may hold parts that hold properties again), which no fixed chain of explode calls can follow, so one Arrow
-pass walks each parsed body with an explicit stack and emits all levels; no shuffle is needed for it.
+Method: each body is parsed into a variant and exploded level by level: from the containers of one level come those of the
+next, each with the key of its parent and its ordinal, until none is left. A merged schema, the union of the fields and kinds of each
+level over all records, is inferred from the levels and tells the columns of each child table. All of it is built-in expressions over
+one record at a time; no shuffle is needed. Nesting has no known depth (a property may hold parts that hold properties
+again): STEPS levels are in the plan, and a body that goes deeper, or that the variant parser doesn't take (repeated keys, half surrogates,
+no JSON), is walked in Arrow batches with an explicit stack, to the same result.
 
 Every object is a node: `level` is its generic path (`sections[].properties[]`, the name of its child table),
 `node_path` its exact one (`sections[1].properties[0]`), `parent_path` that of the object above it, `ordinal` its
@@ -24,15 +26,17 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.jsontext import clean, parse, scalar_text
+from plumbline.session import stage  # noqa: F401
 
 #: Keys whose value is a list even if it stands there as a lone object.
 LISTS = ("properties",)
 NODES = "record_id bigint, level string, node_path string, parent_path string, list_key string, ordinal int, guid string, attributes map<string,string>"
-_OUT = 4_000
+#: Levels of containers (lists and objects count one each) in the plan; rows of an Arrow batch.
+STEPS, _OUT = 12, 4_000
 
 
 def walk(top, lists: tuple[str, ...]) -> Iterator[tuple]:
@@ -56,13 +60,85 @@ def walk(top, lists: tuple[str, ...]) -> Iterator[tuple]:
         stack.extend(reversed(below))
 
 
+def _short(v):
+    """Numbers in their shortest form, 3.0 as 3."""
+    return int(v) if isinstance(v, float) and abs(v) < 1e15 and v.is_integer() else [_short(x) for x in v] if isinstance(v, list) else v
+
+
 def _attributes(node: dict) -> list[tuple[str, str]]:
-    return [(clean(k), clean(json.dumps(v, ensure_ascii=False))) for k, v in node.items()
+    return [(clean(k), clean(json.dumps(_short(v), ensure_ascii=False, separators=(",", ":")))) for k, v in node.items()
             if not isinstance(v, dict) and not (isinstance(v, list) and any(isinstance(x, (dict, list)) for x in v))]
 
 
+def _docs(records: DataFrame) -> DataFrame:
+    """(record_id, body, doc) of the different bodies; `doc` is null where the variant parser doesn't take a body. It
+    leaves text behind the first value unread, so bodies are parsed inside a list and inside an object: what ends the one early doesn't end the other."""
+    bodies = records.select(F.col("record_id").cast("long").alias("record_id"), "body").where("body is not null").distinct()
+    half = F.col("body").rlike(r"\\u[dD][89a-fA-F]")
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]"))), "$", "array<variant>")
+    inside = F.try_parse_json(F.concat(F.lit('{"a":'), "body", F.lit(',"b":0}')))
+    whole = ~half & (F.size(listed) == 1) & (F.try_variant_get(inside, "$.b", "int") == 0)
+    return bodies.withColumn("doc", F.when(whole, F.try_variant_get(inside, "$.a", "variant")))
+
+
+def _object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _item(level, path, parent, key, ordinal, v: Column) -> Column:
+    """A container; `obj` or `list` is null."""
+    return F.struct(level.alias("level"), path.alias("path"), parent.alias("parent"), key.alias("key"), ordinal.cast("int").alias("ordinal"), _object(v).alias("obj"), _list(v).alias("list"))
+
+
+def _below(item: Column, lists: tuple[str, ...]) -> Column:
+    """The containers of a container."""
+    dot = F.when(item["path"] == "", "").otherwise(".")
+    none = F.lit("")
+
+    def field(e: Column) -> Column:
+        lone = e["key"].isin(*lists) & _object(e["value"]).isNotNull()
+        more = lambda c, end: F.concat(item[c], dot, e["key"], F.when(lone, end).otherwise(none))
+        key = F.when(lone | _list(e["value"]).isNotNull(), e["key"]).otherwise(none)
+        return _item(more("level", F.lit("[]")), more("path", F.lit("[0]")), item["path"], key, F.lit(0), e["value"])
+
+    def entry(v: Column, i: Column) -> Column:
+        # an inner list's objects stand in that list, not in the one around it
+        key = F.when(_object(v).isNotNull(), item["key"]).otherwise(none)
+        return _item(F.concat(item["level"], F.lit("[]")), F.concat(item["path"], F.lit("["), i.cast("string"), F.lit("]")), item["parent"], key, i, v)
+
+    fields = F.coalesce(F.transform(F.map_entries(item["obj"]), field), F.transform(F.coalesce(item["list"], F.array().cast("array<variant>")), entry))
+    return F.filter(fields, lambda x: x["obj"].isNotNull() | x["list"].isNotNull())
+
+
+def _row(item: Column, attributes: bool) -> Column:
+    guid = item["obj"]["guid"]
+    text = F.coalesce(F.try_variant_get(guid, "$", "string"), F.when(~F.is_variant_null(guid), F.to_json(guid)))
+    cols = [item["level"].alias("level"), item["path"].alias("node_path"), item["parent"].alias("parent_path"), item["key"].alias("list_key"), item["ordinal"].alias("ordinal"), text.alias("guid")]
+    if attributes:
+        flat = lambda v: _object(v).isNull() & ~F.exists(F.coalesce(_list(v), F.array().cast("array<variant>")), lambda x: _object(x).isNotNull() | _list(x).isNotNull())
+        cols.append(F.transform_values(F.map_filter(item["obj"], lambda _, v: flat(v)), lambda _, v: F.coalesce(F.to_json(v), F.lit("null"))).alias("attributes"))
+    return F.struct(*cols)
+
+
 def nodes(records: DataFrame, lists: tuple[str, ...] = LISTS, attributes: bool = True) -> DataFrame:
     """All nodes of all valid bodies, one row each."""
+    docs = _docs(records)
+    levels = docs.where("doc is not null").select("record_id", "body", F.array(_item(F.lit(""), F.lit(""), F.lit(None).cast("string"), F.lit(""), F.lit(0), F.col("doc"))).alias("c0"))
+    for d in range(1, STEPS + 1):  # one projection a level, so that each is worked out once
+        levels = levels.withColumn(f"c{d}", F.flatten(F.transform(f"c{d - 1}", lambda x: _below(x, lists))))
+    rows = [F.transform(F.filter(f"c{d}", lambda x: x["obj"].isNotNull()), lambda x: _row(x, attributes)) for d in range(STEPS)]
+    deep = F.size(f"c{STEPS}") > 0
+    shallow = levels.select("record_id", F.explode(F.when(~deep, F.concat(*rows))).alias("n")).select("record_id", "n.*")
+    rest = docs.where("doc is null").select("record_id", "body").unionByName(levels.where(deep).select("record_id", "body"))
+    walked = rest.mapInArrow(_walker(lists, attributes), NODES)
+    return shallow.unionByName(walked if attributes else walked.drop("attributes"))
+
+
+def _walker(lists: tuple[str, ...], attributes: bool):
     schema = pa.schema([("record_id", pa.int64()), ("level", pa.string()), ("node_path", pa.string()), ("parent_path", pa.string()), ("list_key", pa.string()),
                         ("ordinal", pa.int32()), ("guid", pa.string()), ("attributes", pa.map_(pa.string(), pa.string()))])
 
@@ -85,9 +161,7 @@ def nodes(records: DataFrame, lists: tuple[str, ...] = LISTS, attributes: bool =
         if rows:
             yield block()
 
-    bodies = records.select(F.col("record_id").cast("long").alias("record_id"), "body").where("body is not null").distinct()
-    out = bodies.mapInArrow(run, NODES)
-    return out if attributes else out.drop("attributes")
+    return run
 
 
 def rejected(records: DataFrame) -> DataFrame:
@@ -117,13 +191,15 @@ def merged_schema(nodes_: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(shape)).alias("kinds"), F.count("*").alias("n_nodes"))
 
 
-def child_table(nodes_: DataFrame, schema: DataFrame, level: str) -> DataFrame:
-    """The flat table of one level: keys, ordinal and one column per field of the merged schema (JSON strings
-    unquoted). Fields named like a key column get a trailing underscore."""
+def child_table(nodes_: DataFrame, schema: DataFrame, level: str | None = None, list_key: str | None = None) -> DataFrame:
+    """The flat table of one level, or of all objects that stand in lists of one key: keys, ordinal and one column per field of
+    the merged schema (JSON strings unquoted). Fields named like a key column get a trailing underscore."""
     keys = ["record_id", "node_path", "parent_path", "ordinal"]
-    fields = [r["field"] for r in schema.where(F.col("level") == level).select("field").orderBy("field").collect()]
+    ours = F.col("level") == level if level is not None else F.col("list_key") == list_key
+    levels = nodes_.where(ours).select("level").distinct()
+    fields = [r["field"] for r in schema.join(levels, "level", "left_semi").select("field").distinct().orderBy("field").collect()]
     text = lambda f: F.get_json_object(F.concat(F.lit('{"v":'), F.col("attributes")[f], F.lit("}")), "$.v")
-    return nodes_.where(F.col("level") == level).select(*keys, *(text(f).alias(f + "_" * (f in keys)) for f in fields))
+    return nodes_.where(ours).select(*keys, *(text(f).alias(f + "_" * (f in keys)) for f in fields))
 
 
 def properties(records: DataFrame) -> DataFrame:

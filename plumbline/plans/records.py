@@ -31,7 +31,7 @@ def p1_descendants(spark, d):
     return hierarchy.descendants(hierarchy.tour(table(spark, d, "building_components")))
 
 
-@R.query("p4_found", """
+_CHANGES = """
     with o as (select distinct series_id, file_id, json_extract_string(payload, '$.node_id') as node, j.key as field, case when j.type = 'VARCHAR' then 'string' when j.type = 'BOOLEAN' then 'boolean' when j.type = 'ARRAY' then 'array'
             when j.type = 'OBJECT' then 'object' when j.type <> 'NULL' then 'number' end as kind, case when j.type <> 'NULL' then coalesce(try_cast(j.atom as double)::varchar, j.value::varchar) end as v
         from export_records, json_each(payload) j where json_valid(payload)),
@@ -48,11 +48,40 @@ def p1_descendants(spark, d):
     select series_id, file_id, 'retyped' as change_kind, field as field_before, field as field_after from b where len(now) > 0 and len(old) > 0 and now <> old
     union all select x.series_id, file_id, 'removed', field, '' from x left join r on r.series_id = x.series_id and r.seq = x.seq and r.fb = x.field where gone and r.fb is null
     union all select x.series_id, file_id, 'added', '', field from x left join r on r.series_id = x.series_id and r.seq = x.seq and r.fa = x.field where not gone and r.fa is null
-    union all select r.series_id, f.file_id, 'renamed', fb, fa from r join f using (series_id, seq)""")
+    union all select r.series_id, f.file_id, 'renamed', fb, fa from r join f using (series_id, seq)"""
+
+
+@R.query("p4_found", _CHANGES)
 def p4_found(spark, d):
     return drift.changes(table(spark, d, "export_records")).select("series_id", "file_id", "change_kind", "field_before", "field_after")
 
 
+_PATHS = r"""
+    with recursive f as (select series_id, file_id, row_number() over (partition by series_id order by min(exported_at), file_id) as seq from export_records group by series_id, file_id),
+    o as (select distinct series_id, file_id, regexp_replace(ltrim(j.fullkey, '$.'), '\[[0-9]+\]', '[]', 'g') as path, case when j.type = 'VARCHAR' then 'string' when j.type = 'BOOLEAN' then 'boolean' when j.type = 'ARRAY' then 'array'
+            when j.type = 'OBJECT' then 'object' when j.type <> 'NULL' then 'number' end as kind from export_records, json_tree(payload) j where json_valid(payload) and json_type(payload) = 'OBJECT' and j.type <> 'NULL' and j.fullkey <> '$'),
+    k as (select series_id, seq, path, kind from o join f using (series_id, file_id)), b as (select series_id, seq + 1 as seq, path, kind from k)
+    select series_id, file_id, path, kind, change from (select *, 'appears' as change from k anti join b using (series_id, seq, path, kind) where seq > 1 union all select *, 'goes' from b anti join k using (series_id, seq, path, kind)) join f using (series_id, seq)"""
+
+
+@R.query("p4_paths", _PATHS.replace("with recursive", "with"))
+def p4_paths(spark, d):
+    return drift.path_changes(table(spark, d, "export_records"))
+
+
+@R.query("p4_described", f"""with c as ({_CHANGES}), ft as (select series_id, file_id, min(exported_at) as t from export_records where series_id is not null and file_id is not null group by all),
+    f as (select *, row_number() over (partition by series_id order by t, file_id) as seq from ft),
+    v0 as (select distinct series_id, cast(version as varchar) as version, applied_at, description from schema_version where series_id is not null),
+    v as (select v0.series_id, version, description, min(seq) as seq, ' ' || regexp_replace(lower(coalesce(description, '')), '[^a-z0-9_]+', ' ', 'g') || ' ' as words from v0 left join f on f.series_id = v0.series_id and f.t >= applied_at group by all),
+    t as (select c.*, seq, version, description from c join f using (series_id, file_id) join v using (series_id, seq)
+        where (field_before <> '' and contains(words, ' ' || lower(field_before) || ' ')) or (field_after <> '' and contains(words, ' ' || lower(field_after) || ' ')))
+    select distinct series_id, file_id, change_kind, field_before, field_after, version, description, 'described' as status from t
+    union all select *, null, null, 'undescribed' from (select * from c except select series_id, file_id, change_kind, field_before, field_after from t)
+    union all select distinct series_id, null, null, null, null, version, description, 'entry_only' from v where not exists (select 1 from t where t.series_id = v.series_id and t.seq = v.seq and t.version is not distinct from v.version and t.description is not distinct from v.description)""")
+def p4_described(spark, d):
+    return drift.described(table(spark, d, "export_records"), table(spark, d, "schema_version"))
+
+
 @R.query("p4_unified")
 def p4_unified(spark, d):
     return drift.unified(table(spark, d, "export_records"))
@@ -66,16 +95,45 @@ def p5_found(spark, d):
     return nested.properties(table(spark, d, "passport_records"))
 
 
-@R.query("p5_nodes")
+#: All objects with their normal paths; a lone object in place of a list of properties stands in it at 0.
+_NODES = r"""b as (select distinct record_id, body from passport_records where json_valid(body)),
+    t as (select record_id, regexp_replace(regexp_replace(regexp_replace(j.fullkey, '^\$\.?', ''), '(^|\.)properties(\.|$)', '\1properties[0]\2', 'g'), '(^|\.)properties(\.|$)', '\1properties[0]\2', 'g') as p, j.value as v from b, json_tree(body) j where j.type = 'OBJECT'),
+    n as (select record_id, replace(regexp_replace(p, '\[[0-9]+\]', '[]', 'g'), '"', '') as level, replace(p, '"', '') as node_path, case when regexp_matches(p, '^(\[[0-9]+\])*$') then null else regexp_replace(replace(p, '"', ''), '\.?[^.\[\]]+(\[[0-9]+\])*$', '') end as parent_path,
+        regexp_extract(p, '([^.\[\]]+)\[[0-9]+\]$', 1) as list_key, coalesce(try_cast(regexp_extract(p, '\[([0-9]+)\]$', 1) as int), 0) as ordinal, json_extract_string(v, '$.guid') as guid, v from t),
+    a as (select record_id, level, node_path, j.key as field, j.type as type, j.value as value from n, json_each(v) j where j.type <> 'OBJECT' and not (j.type = 'ARRAY' and len(list_filter(json_extract(j.value, '$[*]'), lambda x: json_type(x) in ('OBJECT', 'ARRAY'))) > 0))"""
+
+
+@R.query("p5_nodes", f"with {_NODES} select record_id, level, node_path, parent_path, list_key, ordinal, guid from n")
 def p5_nodes(spark, d):
-    return nested.nodes(table(spark, d, "passport_records")).drop("attributes")
+    return nested.nodes(table(spark, d, "passport_records"), attributes=False)
 
 
-@R.query("p5_schema")
+@R.query("p5_schema", f"""with {_NODES} select level, field, array_to_string(list_sort(list_distinct(list(case when type = 'VARCHAR' then 'string' when type = 'ARRAY' then 'array' when type = 'BOOLEAN' then 'boolean' when type = 'NULL' then null else 'number' end))), ',') as kinds,
+    count(*) as n_nodes from a group by level, field""")
 def p5_schema(spark, d):
     return nested.merged_schema(nested.nodes(table(spark, d, "passport_records"))).withColumn("kinds", F.array_join("kinds", ","))
 
 
+def _flat(spark, d, list_key):
+    n = nested.stage(nested.nodes(table(spark, d, "passport_records")))
+    return nested.child_table(n, nested.merged_schema(n), list_key=list_key)
+
+
+def _flat_sql(list_key, *fields):
+    pick = ", ".join(f"max(case when a.field = '{f}' then regexp_replace(json_extract_string(a.value, '$'), case when a.type = 'DOUBLE' then '[.]0+$' else '^$' end, '') end) as \"{f}\"" for f in fields)
+    return f"with {_NODES} select n.record_id, n.node_path, n.parent_path, n.ordinal, {pick} from n left join a using (record_id, node_path) where list_key = '{list_key}' group by all"
+
+
+@R.query("p5_sections", _flat_sql("sections", "nameDK", "nameEN", "properties"))
+def p5_sections(spark, d):
+    return _flat(spark, d, "sections")
+
+
+@R.query("p5_properties", _flat_sql("properties", "guid", "name", "value", "values"))
+def p5_properties(spark, d):
+    return _flat(spark, d, "properties")
+
+
 def _orphans(spark, d):
     return orphans.cascade({n: table(spark, d, n) for r in orphans.PROJECT_REFERENCES for n in (r.child, r.parent)})
 

@@ -72,6 +72,32 @@ def test_child_tables_keep_their_links(spark):
     assert {r["field"]: r["kinds"] for r in schema.collect()}["value"] == ["string"]
 
 
+def test_levels_and_walk_agree(spark, monkeypatch):
+    """Random bodies exploded level by level and walked give the same nodes; a limit on levels only changes who does it."""
+    import random
+
+    rng = random.Random(4)
+
+    def value(depth):
+        k = rng.choice([0, 1, 2, 3, 4, 5, 6, 6, 7, 7, 7, 7]) if depth else rng.randrange(5)
+        if k < 5:
+            return [None, 3, 2.5, "æ \" x", True][k]
+        if k == 5:
+            return [value(0) for _ in range(rng.randrange(3))]
+        if k == 6:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        return {rng.choice(["guid", "properties", "parts", "a b", "x.y", "value"]): value(depth - 1) for _ in range(rng.randrange(1, 5))}
+
+    rows = [(i, json.dumps(value(6))) for i in range(200)] + [(500, '{"a":1,"a":{"guid":2}}'), (501, '{"a":[1}'), (502, ' {"properties": {"guid": 5}} '), (503, "1],[2"), (504, '1,"b":0}')]
+    df = spark.createDataFrame(rows, "record_id long, body string")
+    take = lambda: sorted((tuple(r)[:-1] + (tuple(sorted(r["attributes"].items())),) for r in nested.nodes(df).collect()), key=str)
+    want = take()
+    assert len(want) > 200 and {r[0] for r in want} >= {500, 502} and not {r[0] for r in want} & {501, 503, 504}
+    for steps in (1, 3):
+        monkeypatch.setattr(nested, "STEPS", steps)
+        assert take() == want
+
+
 def test_very_deep_nesting(spark):
     deep = '{"properties":[' * 800 + "{}" + "]}" * 800
     got = nested.properties(spark.createDataFrame([(1, deep)], "record_id long, body string"))
@@ -115,6 +141,23 @@ def test_changes(spark):
     }
 
 
+def test_alternatives_at_nested_paths(spark):
+    rows = export("s", "f1", 1, {"node_id": 1, "h": 5, "t": ["x"]}, twice=True) + export("s", "f2", 2, {"node_id": 1, "h": {"value": 5, "u": None}, "t": [1, "x"]}) + export("s", "f3", 3, {"node_id": 1, "h": {"value": "5"}})
+    got = {tuple(r)[1:] for r in drift.path_changes(spark.createDataFrame(rows, DRIFT)).collect()}
+    assert got == {("f2", "h", "object", "appears"), ("f2", "h", "number", "goes"), ("f2", "h.value", "number", "appears"), ("f2", "t[]", "number", "appears"),
+                   ("f3", "h.value", "string", "appears"), ("f3", "h.value", "number", "goes"), ("f3", "t", "array", "goes"), ("f3", "t[]", "string", "goes"), ("f3", "t[]", "number", "goes")}
+    assert drift.path_changes(spark.createDataFrame([], DRIFT)).count() == 0
+
+
+def test_changes_beside_their_entries(spark):
+    rows = export("s", "f1", 1, {"node_id": 1, "a": 5}) + export("s", "f2", 5, {"node_id": 1, "b": 5, "c": 1}) + export("s", "f3", 9, {"node_id": 1, "b": "5", "c": 1})
+    v = [("s", 1, T(2024, 1, 1), "first"), ("s", 2, T(2024, 1, 5), "Rename a to B"), ("s", 2, T(2024, 1, 5), "Rename a to B"), ("s", 3, T(2024, 1, 6), None), ("s", 4, T(2024, 1, 20), "widen b"), (None, 1, T(2024, 1, 1), "a")]
+    df, vs = spark.createDataFrame(rows, DRIFT), spark.createDataFrame(v, "series_id string, version int, applied_at timestamp_ntz, description string")
+    got = {tuple(r)[1:] for r in drift.described(df, vs).collect()}
+    assert got == {("f2", "renamed", "a", "b", "2", "Rename a to B", "described"), ("f2", "added", "", "c", None, None, "undescribed"), ("f3", "retyped", "b", "b", None, None, "undescribed"),
+                   (None, None, None, None, "1", "first", "entry_only"), (None, None, None, None, "3", None, "entry_only"), (None, None, None, None, "4", "widen b", "entry_only")}
+
+
 def test_one_table_of_all_files(spark):
     rows = export("s", "f1", 1, {"node_id": 1, "a": 5}) + export("s", "f2", 2, {"node_id": 1, "b": 5}) + export("s", "f3", 3, {"node_id": 1, "c": {"value": 5, "unit": "m"}})
     got = {(r["file_id"], r["field"], r["field_as_written"], r["canonical"], r["as_number"], r["as_json"]) for r in drift.unified(spark.createDataFrame(rows * 2, DRIFT)).collect() if r["field"] != "node_id"}
