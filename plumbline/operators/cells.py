@@ -195,3 +195,13 @@ def boundary_faces(faces: pd.DataFrame, label: dict[int, int], inside=lambda r:
     side = lambda c: inside(label.get(int(c), 0)) if c >= 0 else False
     rows = [(f.face, int(f.a if side(f.a) else f.b), f.area) for f in faces.itertuples() if side(f.a) != side(f.b)]
     return pd.DataFrame(rows, columns=["face", "cell", "area"])
+
+
+def wall_steps(faces: DataFrame, members: DataFrame) -> DataFrame:
+    """(face, left, entered, either) for faces (face, a, b) between two cells and the walls each cell lies in (cell, walls array): the walls one leaves and enters by going from a to b,
+    and all that either lies in; arrays are sorted, a cell without a row, or outside (-1), lies in none."""
+    kind = dict(members.dtypes)["walls"]
+    side = lambda c: members.select(F.col("cell").alias(c), F.col("walls").alias(f"w{c}"))
+    j = faces.select("face", "a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    a, b = (F.coalesce(f"w{c}", F.array().cast(kind)) for c in "ab")
+    return j.select("face", F.sort_array(F.array_except(a, b)).alias("left"), F.sort_array(F.array_except(b, a)).alias("entered"), F.sort_array(F.array_union(a, b)).alias("either"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import geometry
+from plumbline.operators.voxel import finite, stride_sample
 
 #: Most frames one projection sends to every task; more are worked through in blocks of that many.
 FRAME_BLOCK = 2_000
@@ -20,6 +21,16 @@ def project_labels(points: DataFrame, frames: DataFrame, labels: DataFrame, far:
     if it lies in front of the camera, not farther than `far`, inside the image, and within `near` of the nearest
     point in its pixel. Frames are matrices of a few numbers; they are sent in blocks of a checked size, and the
     nearest depth per pixel is a partial aggregate before its shuffle."""
+    seen = _projected(points, frames, 0.0, far)
+    pixel = ["node_id", "u", "v"]
+    buffer = seen.groupBy(*pixel).agg(F.min("depth").alias("zb"))
+    hit = seen.join(buffer, pixel).where(F.abs(F.col("depth") - F.col("zb")) <= near).join(labels, pixel)
+    last = hit.groupBy("point_idx").agg(F.max_by("label", "node_id").alias("label"))
+    return points.select("point_idx").join(last, "point_idx", "left").select("point_idx", F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def _projected(points: DataFrame, frames: DataFrame, least: float, far: float | None, exact: bool = False) -> DataFrame:
+    """(point_idx, node_id, depth, u, v) of every point in every frame it falls into, at a depth above `least` and up to `far`; pixels are whole numbers, unless `exact`."""
     n = frames.count()
     blocks = max(1, -(-n // FRAME_BLOCK))
     seen = None
@@ -27,16 +38,14 @@ def project_labels(points: DataFrame, frames: DataFrame, labels: DataFrame, far:
         part = frames if blocks == 1 else frames.where(F.pmod(F.xxhash64("node_id"), F.lit(blocks)) == k)
         v = lambda i: F.col("view")[i]
         cam = lambda r: v(4 * r) * F.col("x") + v(4 * r + 1) * F.col("y") + v(4 * r + 2) * F.col("z") + v(4 * r + 3)
-        j = points.select("point_idx", *(F.col(a).cast("double").alias(a) for a in "xyz")).join(F.broadcast(part), cam(2) > 0)
-        j = j.select("point_idx", "node_id", cam(0).alias("px"), cam(1).alias("py"), cam(2).alias("depth"), "fx", "fy", "cx", "cy", "width", "height").where(F.col("depth") <= far)
-        j = j.select("point_idx", "node_id", "depth", "width", "height", *(F.round(F.col(f"p{a}") * F.col(f"f{a}") / F.col("depth") + F.col(f"c{a}")).cast("long").alias(u) for a, u in (("x", "u"), ("y", "v"))))
+        near = (cam(2) > least) & (cam(2) <= far) if far is not None else cam(2) > least
+        j = points.select("point_idx", *(F.col(a).cast("double").alias(a) for a in "xyz")).join(F.broadcast(part), near)
+        j = j.select("point_idx", "node_id", cam(0).alias("px"), cam(1).alias("py"), cam(2).alias("depth"), "fx", "fy", "cx", "cy", "width", "height")
+        at = lambda a: F.col(f"p{a}") * F.col(f"f{a}") / F.col("depth") + F.col(f"c{a}")
+        j = j.select("point_idx", "node_id", "depth", "width", "height", *((at(a) if exact else F.round(at(a)).cast("long")).alias(u) for a, u in (("x", "u"), ("y", "v"))))
         j = j.where((F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") < F.col("height")))
         seen = j if seen is None else seen.unionByName(j)
-    pixel = ["node_id", "u", "v"]
-    buffer = seen.groupBy(*pixel).agg(F.min("depth").alias("zb"))
-    hit = seen.join(buffer, pixel).where(F.abs(F.col("depth") - F.col("zb")) <= near).join(labels, pixel)
-    last = hit.groupBy("point_idx").agg(F.max_by("label", "node_id").alias("label"))
-    return points.select("point_idx").join(last, "point_idx", "left").select("point_idx", F.coalesce("label", F.lit(0)).alias("label"))
+    return seen
 
 
 def decode_depth(data: bytes | None, width: int, height: int) -> np.ndarray:
@@ -132,3 +141,12 @@ def surfels(frames: DataFrame, step: int = 4, least: int = 16) -> DataFrame:
 def label_metadata(labels: DataFrame) -> DataFrame:
     """(node_id, classes) of label images as (node_id, u, v, label): the distinct class ids from 0 up."""
     return labels.groupBy("node_id").agg(F.array_sort(F.collect_set(F.when(F.col("label") >= 0, F.col("label")))).alias("classes"))
+
+
+def seed_views(points: DataFrame, frames: DataFrame, most: int | None = None) -> DataFrame:
+    """(point_idx, views): for each seed point (point_idx, x, y, z, finite) the frames (as in `project_labels`) it falls into, whatever stands before it; points no frame sees are left out. With
+    `most`, every so-manieth point is taken so that at most that many are."""
+    p = points.where(finite("x", "y", "z"))
+    if most:
+        p = stride_sample(p, most, "point_idx")
+    return _projected(p, frames, 0.01, None, exact=True).groupBy("point_idx").agg(F.sort_array(F.collect_set("node_id")).alias("views"))

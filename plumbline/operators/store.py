@@ -161,3 +161,74 @@ def first_property_number(values: DataFrame) -> DataFrame:
 def sort_numbers(values: DataFrame) -> DataFrame:
     """Values numbered anew from 0 within their passport, in their present order."""
     return values.withColumn("sort_order", (F.row_number().over(Window.partitionBy("passport_id").orderBy("sort_order", "id")) - 1).cast("int"))
+
+
+def save_mesh(tables: dict[str, DataFrame], mesh: DataFrame, textures: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables with meshes (name, format, vertex_count, face_count, data, ...) put in or replaced by name, and their textures (mesh_name, tex_name, format,
+    width, height, data) by mesh and texture name. ValueError if one of the meshes is empty: no vertices or no faces."""
+    if mesh.where("coalesce(vertex_count, 0) = 0 or coalesce(face_count, 0) = 0").limit(1).count():
+        raise ValueError("an empty mesh is not stored")
+    out = dict(tables, meshes=upsert(tables["meshes"], mesh, ["name"]) if "meshes" in tables else mesh)
+    if textures is not None:
+        # a mesh that is stored anew loses textures it has no more
+        old = tables["mesh_texture_data"].join(mesh.select(F.col("name").alias("mesh_name")), "mesh_name", "left_anti").select(*tables["mesh_texture_data"].columns) if "mesh_texture_data" in tables else None
+        more = [F.col(c) for c in textures.columns if c not in ("mesh_name", "tex_name")]
+        one = first_per(textures, ["mesh_name", "tex_name"], *more) if more else textures.distinct()
+        out["mesh_texture_data"] = one if old is None else old.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def save_frames(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """Sensor frames (node_id and images, pose, intrinsics) put in or replaced by node_id."""
+    return upsert(frames, new, ["node_id"])
+
+
+def save_label_images(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Segmentation images (node_id, data) with those of `labels` (node_id, width, height, labels array<int>, row by row, -1 for background) put in or replaced, each as a 16-bit grey
+    PNG of label + 1."""
+    import numpy as np
+    import pandas as pd
+
+    from plumbline.sources.exports import label_png
+
+    def run(parts):
+        for f in parts:
+            yield pd.DataFrame({"node_id": f.node_id, "data": [label_png(np.array(x).reshape(h, w)) for x, w, h in zip(f.labels, f.width, f.height)]})
+
+    return upsert(images, labels.select("node_id", "width", "height", "labels").mapInPandas(run, f"node_id {dict(labels.dtypes)['node_id']}, data binary"), ["node_id"])
+
+
+def replace_passport(tables: dict[str, DataFrame], passport: DataFrame, values: DataFrame, log: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables with passports (id, document_guid, ...) put in the place of those of the same document_guid: the old row, its values and its log go, the new ones
+    come, and definitions the values name by `field_name` that aren't there yet are added. Nothing is written here, so a failure changes nothing;
+    the tables are then put in place by `replace`."""
+    old = tables["material_passports"].join(passport.select("document_guid").distinct(), "document_guid", "left_semi").select(F.col("id").alias("passport_id"))
+    gone = old.unionByName(passport.select(F.col("id").alias("passport_id"))).where("passport_id is not null").distinct()
+    out = dict(tables)
+    out["material_passports"] = upsert(tables["material_passports"].join(passport.select("document_guid"), "document_guid", "left_anti").select(*tables["material_passports"].columns), passport, ["id"])
+    for name, rows in (("passport_property_values", values), ("passport_log", log)):
+        if name in tables:
+            kept = tables[name].join(gone, "passport_id", "left_anti").select(*tables[name].columns)
+            types = dict(tables[name].dtypes)
+            out[name] = kept if rows is None else kept.unionByName(rows.select(*(F.col(c).cast(types[c]).alias(c) if c in rows.columns else F.lit(None).cast(types[c]).alias(c) for c in types)))
+    if "property_definitions" in tables and "field_name" in values.columns:
+        new = values.where("field_name is not null").select(F.col("property_id").alias("id"), F.col("leksikon_guid"), "field_name").where("id is not null").distinct()
+        out["property_definitions"] = insert_ignore(tables["property_definitions"], new, ["id"])
+    return out
+
+
+def passport_entries(passports_: DataFrame, log: DataFrame, guid: str | None = None) -> DataFrame:
+    """The log of passports by document_guid, of one or of all, in the order of editing: (document_guid, entry_type, target_guid, edited_by, edited_at, old_value, new_value)."""
+    p = passports_.select(F.col("id").alias("passport_id"), "document_guid")
+    j = log.join(p if guid is None else p.where(F.col("document_guid") == guid), "passport_id")
+    return j.select("document_guid", "entry_type", "target_guid", "edited_by", "edited_at", "old_value", "new_value").orderBy("document_guid", "edited_at")
+
+
+def passport_values(passports_: DataFrame, values: DataFrame, definitions: DataFrame, guid: str | None = None) -> DataFrame:
+    """The stored properties of passports by document_guid, of one or of all, in their order: (document_guid, sort_order, field_name, value). A value belongs to the definition of its
+    property_id or, without one, of its leksikon_guid."""
+    p = passports_.select(F.col("id").alias("passport_id"), "document_guid")
+    v = values.join(p if guid is None else p.where(F.col("document_guid") == guid), "passport_id").withColumn("k", F.coalesce(F.concat(F.lit("i"), "property_id"), F.concat(F.lit("g"), "leksikon_guid")))
+    d = definitions.select(F.concat(F.lit("i"), "id").alias("k"), "id", "field_name").unionByName(definitions.select(F.concat(F.lit("g"), "leksikon_guid").alias("k"), "id", "field_name"))
+    d = d.where("k is not null").groupBy("k").agg(F.min_by("field_name", "id").alias("field_name"))
+    return v.join(d, "k").select("document_guid", "sort_order", "field_name", F.decode(F.col("value"), "UTF-8").alias("value")).orderBy("document_guid", "sort_order")

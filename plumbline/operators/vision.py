@@ -115,3 +115,8 @@ def largest_part(mask: np.ndarray) -> np.ndarray:
         label = new
     ids, n = np.unique(label[label > 0], return_counts=True)
     return label == ids[n.argmax()] if len(ids) else mask
+
+
+def shuffled(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """All rows in a random order that the seed decides, by a range shuffle."""
+    return rows.orderBy(F.rand(seed), *rows.columns[:1])

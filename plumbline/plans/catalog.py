@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import points, project, records, scenes
+from plumbline.plans import building, points, project, records, scenes
 
-REGISTRIES = [records.R, points.R, project.R, scenes.R]
+REGISTRIES = [records.R, points.R, project.R, scenes.R, building.R]
 
 
 def flagship(spark, d):

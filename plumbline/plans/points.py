@@ -214,14 +214,14 @@ def nearest_timestamp(spark, d):
 
 
 @R.query("argmin_cost_match", f"""with {PTS}, i as (select point_idx as instance_id, x, y, z, x / sqrt(x*x+y*y+z*z) as nx, y / sqrt(x*x+y*y+z*z) as ny, z / sqrt(x*x+y*y+z*z) as nz from p),
-    w as (select instance_id as wall_id, nx as a, ny as b, nz as c, 0.1::double as d from i where instance_id < 20),
+    m as (select label as wall_id, avg(x) as x, avg(y) as y, avg(z) as z from p group by label), w as (select wall_id, x / sqrt(x*x+y*y+z*z) as a, y / sqrt(x*x+y*y+z*z) as b, z / sqrt(x*x+y*y+z*z) as c, 0.1::double as d from m),
     r as (select instance_id, wall_id, acos(least(1.0, abs(nx*a + ny*b + nz*c))) as ang, abs(x*a + y*b + z*c + d) as far from i, w where acos(least(1.0, abs(nx*a + ny*b + nz*c))) <= radians(50.0)),
     k as (select instance_id, wall_id, ang + 0.5 * far as cost, row_number() over (partition by instance_id order by ang + 0.5 * far, wall_id) as k from r)
     select i.instance_id, wall_id, round(cost, 6) as cost from i left join k on k.instance_id = i.instance_id and k.k = 1""")
 def argmin_cost_match(spark, d):
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     i = points(spark, d).select(F.col("point_idx").alias("instance_id"), "x", "y", "z", *((F.col(a) / r).alias(f"n{a}") for a in "xyz"), F.lit(0.5).alias("flatness"))
-    w = i.where("instance_id < 20").select(F.col("instance_id").alias("wall_id"), F.col("nx").alias("a"), F.col("ny").alias("b"), F.col("nz").alias("c"), F.lit(0.1).alias("d"))
+    w = points(spark, d).groupBy(F.col("label").alias("wall_id")).agg(*(F.avg(a).alias(a) for a in "xyz")).select("wall_id", *((F.col(a) / r).alias(n) for a, n in zip("xyz", "abc")), F.lit(0.1).alias("d"))
     return matching.cheapest_wall(i, w).select("instance_id", "wall_id", F.round("cost", 6).alias("cost"))
 
 
@@ -319,7 +319,7 @@ def distinct_labels(spark, d):
     return points(spark, d).where("label <> 0").select("label").distinct()
 
 
-@R.query("semi_labels", f"with {PTS} select point_idx from p where exists (select 1 from p q where q.label = p.label and q.point_idx < 5)")
+@R.query("semi_labels", f"with {PTS} select point_idx from p where exists (select 1 from p q where q.label = p.label and abs(q.x) < 0.002)")
 def semi_labels(spark, d):
     p = points(spark, d)
-    return p.join(p.where("point_idx < 5").select("label"), "label", "left_semi").select("point_idx")
+    return p.join(p.where("abs(x) < 0.002").select("label"), "label", "left_semi").select("point_idx")

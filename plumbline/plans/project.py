@@ -38,18 +38,20 @@ def property_count(spark, d):
 
 
 @R.query("eav_properties", """select v.passport_id, v.sort_order, d.field_name, d.category, decode(v.value) as value, count(*) as n
-    from passport_property_values v join property_definitions d on d.id = v.property_id where d.category = 'Owner' group by all""")
+    from passport_property_values v join property_definitions d on d.id = v.property_id group by all""")
 def eav_properties(spark, d):
     v, p = table(spark, d, "passport_property_values"), table(spark, d, "property_definitions").select(F.col("id").alias("property_id"), "field_name", "category")
-    j = v.join(F.broadcast(p.where("category = 'Owner'")) if p.limit(20_001).count() <= 20_000 else p.where("category = 'Owner'"), "property_id")
+    j = v.join(F.broadcast(p) if p.limit(20_001).count() <= 20_000 else p, "property_id")
     return j.groupBy("passport_id", "sort_order", "field_name", "category", F.decode("value", "UTF-8").alias("value")).agg(F.count("*").alias("n"))
 
 
-@R.query("label_names", """with l as (select distinct cloud_id, label_id, name from label_definitions where cloud_id is not null), c as (select distinct id, name from point_clouds)
-    select c.id, c.name as cloud, k.label_id, coalesce(l.name, 'class_' || k.label_id) as label from c, (select unnest([0, 1, 2]) as label_id) k left join l on l.cloud_id = c.id and l.label_id = k.label_id""")
+@R.query("label_names", """with l as (select distinct cloud_id, label_id, name from label_definitions where cloud_id is not null), c as (select distinct id, project_id, name from point_clouds), k as (select distinct c.project_id, l.label_id from c join l on l.cloud_id = c.id)
+    select c.id, c.name as cloud, k.label_id, coalesce(l.name, 'class_' || k.label_id) as label from c join k using (project_id) left join l on l.cloud_id = c.id and l.label_id = k.label_id""")
 def label_names(spark, d):
-    c = table(spark, d, "point_clouds").select("id", F.col("name").alias("cloud")).distinct().withColumn("label_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    # every label that some cloud of the project has, for each of its clouds
+    c = table(spark, d, "point_clouds").select("id", "project_id", F.col("name").alias("cloud")).distinct()
     n = table(spark, d, "label_definitions").where("cloud_id is not null").select(F.col("cloud_id").alias("id"), "label_id", "name").distinct()
+    c = c.join(c.join(n, "id").select("project_id", "label_id").distinct(), "project_id")
     return c.join(n, ["id", "label_id"], "left").select("id", "cloud", "label_id", F.coalesce("name", F.concat(F.lit("class_"), "label_id")).alias("label"))
 
 
@@ -163,7 +165,7 @@ def gather_scene(spark, d):
     return c.join(n, "id", "left").join(b, "project_id", "left").select("id", "name", F.coalesce("n_labels", F.lit(0)).alias("n_labels"), F.coalesce("n_components", F.lit(0)).alias("n_components"))
 
 
-@R.query("zbuffer_project", f"""with {PTS}, f as (select point_idx as node_id, point_idx * 0.1::double as off from p where point_idx < 3),
+@R.query("zbuffer_project", f"""with {PTS}, f as (select distinct label as node_id, label * 0.1::double as off from p),
     r as (select p.point_idx, f.node_id, p.z + 1.5::double as depth, cast(round((p.x + off) * 20 / (p.z + 1.5::double) + 16) as bigint) as u, cast(round(p.y * 20 / (p.z + 1.5::double) + 16) as bigint) as v from p, f where p.z + 1.5::double > 0 and p.z + 1.5::double <= 7),
     k as (select *, min(depth) over (partition by node_id, u, v) as zb from r where u between 0 and 31 and v between 0 and 31), s as (select point_idx, (u + v + node_id) % 5 as label, row_number() over (partition by point_idx order by node_id desc) as k from k where abs(depth - zb) <= 0.15::double)
     select p.point_idx, coalesce(s.label, 0) as label from p left join s on s.point_idx = p.point_idx and k = 1""")
@@ -171,7 +173,7 @@ def zbuffer_project(spark, d):
     from plumbline.operators import images
 
     p = points(spark, d)
-    frames = p.where("point_idx < 3").select(F.col("point_idx").alias("node_id"), F.array(*(F.lit(x).cast("double") for x in (1, 0, 0)), F.col("point_idx") * F.lit(0.1), *(F.lit(x).cast("double") for x in (0, 1, 0, 0, 0, 0, 1, 1.5))).alias("view"),
+    frames = p.select(F.col("label").alias("node_id")).distinct().select("node_id", F.array(*(F.lit(x).cast("double") for x in (1, 0, 0)), F.col("node_id") * F.lit(0.1), *(F.lit(x).cast("double") for x in (0, 1, 0, 0, 0, 0, 1, 1.5))).alias("view"),
                                              *(F.lit(v).alias(c) for c, v in (("fx", 20.0), ("fy", 20.0), ("cx", 16.0), ("cy", 16.0), ("width", 32), ("height", 32))))
     grid = spark.range(32 * 32).select((F.col("id") % 32).alias("u"), F.floor(F.col("id") / 32).alias("v"))
     labels = frames.select("node_id").crossJoin(grid).select("node_id", "u", "v", ((F.col("u") + F.col("v") + F.col("node_id")) % 5).alias("label"))

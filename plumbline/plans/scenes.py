@@ -92,7 +92,7 @@ def instance_planes(spark, d):
 @R.query("create_windows")
 def create_windows(spark, d):
     p = points(spark, d)
-    walls = _with_normals(p).where("point_idx < 30 and abs(nz) < 0.3").select(F.col("point_idx").alias("wall_id"), F.col("nx").alias("a"), F.col("ny").alias("b"), F.col("nz").alias("c"), F.lit(0.1).alias("d"))
+    walls = _with_normals(p).where("abs(nz) < 0.3").select(F.col("point_idx").alias("wall_id"), F.col("nx").alias("a"), F.col("ny").alias("b"), F.col("nz").alias("c"), F.lit(0.1).alias("d"))
     return windows.create_windows(p.withColumnRenamed("label", "instance"), walls, 0.1)[0].select("instance_id", "wall_id", "name", "width", "height")
 
 
@@ -143,7 +143,7 @@ def cloud_points(spark, d):
 def camera_scene_points(spark, d):
     p = points(spark, d).select("point_idx", "x", "y", "z", *(F.lit(v).alias(c) for c, v in (("r", 1), ("g", 2), ("b", 3))))
     frames = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.array(*(F.lit(float(v)) for v in (1, 0, 0, 1, 0, 1, 0, 2, 0, 0, 1, 3, 0, 0, 0, 1))).alias("pose"), *(F.col("p_retailprice").alias(c) for c in ("fx", "fy", "cx", "cy")), *(F.col("p_size").alias(c) for c in ("width", "height")))
-    scene = exports.camera_scene(frames, p, 100)
+    scene = exports.camera_scene(frames, p)
     return scene["cameras"].select(F.lit("cameras").alias("part"), "line").unionByName(scene["points3D"].select(F.lit("points3D").alias("part"), "line"))
 
 
