@@ -55,7 +55,7 @@ def read_payload(text: str | Column, kind: str | Column | None = None) -> Column
     of = F.coalesce(p["component_type"], _c(kind)) if kind is not None else p["component_type"]
     has = lambda f: of.isin([k for k, v in COMPONENTS.items() if f in v])
     names = [x.split()[0] for x in PAYLOAD.split(", ")][1:]
-    return F.when(of.isin(list(COMPONENTS)), F.struct(of.alias("component_type"), *(F.when(has(f), p[f]).alias(f) for f in names)))
+    return F.when(of.isin(list(COMPONENTS)) & F.try_parse_json(_c(text)).isNotNull(), F.struct(of.alias("component_type"), *(F.when(has(f), p[f]).alias(f) for f in names)))
 
 
 @F.pandas_udf(BinaryType())
@@ -70,9 +70,10 @@ def unpack_doubles(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None or len(b) % 8 else np.frombuffer(b, "<f8"))
 
 
-def unpack_points(data: str | Column) -> Column:
-    """The points (array of structs x, y, z) in bytes of three doubles each; null where the length doesn't fit."""
-    v = unpack_doubles(_c(data))
-    at = lambda i: F.struct(*(F.element_at(v, (i * 3 + k + 1).cast("int")).alias(a) for k, a in enumerate("xyz")))
-    n = F.size(v) / 3
-    return F.when((F.length(_c(data)) % 24 == 0) & (F.length(_c(data)) > 0), F.transform(F.sequence(F.lit(0), n.cast("int") - 1), at)).when(F.length(_c(data)) == 0, F.array().cast("array<struct<x:double,y:double,z:double>>"))
+def points_of(values: str | Column) -> Column:
+    """Points (array of structs x, y, z) of a column of doubles; null where their number is no multiple of three."""
+    v = _c(values)
+    at = lambda i: F.struct(*(F.get(v, i * 3 + k).alias(a) for k, a in enumerate("xyz")))
+    n = (F.size(v) / 3).cast("int")
+    none = F.array().cast("array<struct<x:double,y:double,z:double>>")
+    return F.when(F.size(v) == 0, none).when((F.size(v) > 0) & (F.size(v) % 3 == 0), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), at))

@@ -43,8 +43,8 @@ def arrangement(lines: list[tuple[float, float, float]], box: tuple[float, float
 
 
 def complex_of(walls: list[tuple[float, float, float]], floors: list[float], box: tuple[float, float, float, float], margin: float = 1.0) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(cells, faces). Cells (cell, x, y, z, floor_area, volume) are one per 2-D face and gap between neighbouring floors, from below. Faces (face, a, b, kind, area): cells on both sides, b is -1 outside; upright faces have
-    the gap's height times the edge's length."""
+    """(cells, faces). Cells (cell, x, y, z, floor_area, volume) are one per 2-D face and gap between neighbouring floors, from below. Faces (face, a, b, kind, area, ring, a_centre): cells on both sides, b is -1 outside; upright faces have
+    the gap's height times the edge's length; `ring` are the corners, `a_centre` the centre of cell a."""
     x0, y0, x1, y1 = box
     flat = arrangement(walls, (x0 - margin, y0 - margin, x1 + margin, y1 + margin))
     heights = sorted(set(floors))
@@ -65,12 +65,15 @@ def complex_of(walls: list[tuple[float, float, float]], floors: list[float], box
     for level, (lo, hi) in enumerate(pairwise(heights)):
         for (s, t), of in sorted(owner.items()):
             length = float((t[0] - s[0]) ** 2 + (t[1] - s[1]) ** 2) ** 0.5
-            faces.append((level * n + of[0], level * n + of[1] if len(of) > 1 else -1, "wall", length * (hi - lo)))
+            ring = [(*map(float, s), lo), (*map(float, t), lo), (*map(float, t), hi), (*map(float, s), hi)]
+            faces.append((level * n + of[0], level * n + of[1] if len(of) > 1 else -1, "wall", length * (hi - lo), ring))
         for i in range(n):
-            faces.append((level * n + i, (level + 1) * n + i if level + 2 < len(heights) else -1, "floor", area[i]))
+            ring = lambda z: [(float(x), float(y), z) for x, y in flat[i]]  # noqa: B023, E731
+            faces.append((level * n + i, (level + 1) * n + i if level + 2 < len(heights) else -1, "floor", area[i], ring(hi)))
             if level == 0:
-                faces.append((i, -1, "floor", area[i]))
-    f = pd.DataFrame(faces, columns=["a", "b", "kind", "area"])
+                faces.append((i, -1, "floor", area[i], ring(lo)))
+    f = pd.DataFrame(faces, columns=["a", "b", "kind", "area", "ring"])
+    f["a_centre"] = [cells[a][1:4] for a in f.a]
     f.insert(0, "face", range(len(f)))
     return pd.DataFrame(cells, columns=["cell", "x", "y", "z", "floor_area", "volume"]), f
 
