@@ -41,17 +41,21 @@ def p8_ids(spark, d):
     return tokenizer.token_ids(table(spark, d, "documents"))
 
 
-@R.query("p9_found", r"""
-    with i as (select distinct item_id as id, regexp_extract_all(text, '[\p{L}\p{Nd}]+') as w from eval_items where text is not null),
+_LEAKS = r"""
+    i as (select distinct item_id as id, regexp_extract_all(text, '[\p{L}\p{Nd}]+') as w from eval_items where text is not null),
     d as (select doc_id as id, regexp_extract_all(text, '[\p{L}\p{Nd}]+') as w from documents where text is not null),
     a as (select id, lower(array_to_string(w[k:k + 11], ' ')) as g from (select id, w, unnest(generate_series(1, len(w) - 11)) as k from i)),
-    b as (select id, lower(array_to_string(w[k:k + 11], ' ')) as g from (select id, w, unnest(generate_series(1, len(w) - 11)) as k from d))
-    select distinct a.id as item_id, b.id as doc_id from a join b using (g)""")
+    b as (select id, k, lower(array_to_string(w[k:k + 11], ' ')) as g from (select id, w, unnest(generate_series(1, len(w) - 11)) as k from d))"""
+
+
+@R.query("p9_found", f"with {_LEAKS} select distinct a.id as item_id, b.id as doc_id from a join b using (g)")
 def p9_found(spark, d):
     return leakage.leaks(table(spark, d, "eval_items"), table(spark, d, "documents"))
 
 
-@R.query("p9_removal_spans")
+@R.query("p9_removal_spans", f"""with {_LEAKS}, m as (select distinct b.id as doc_id, k, a.id as item_id from a join b using (g)), p as (select distinct doc_id, k from m),
+    n as (select *, case when k <= lag(k) over (partition by doc_id order by k) + 12 then 0 else 1 end as new from p), r as (select *, sum(new) over (partition by doc_id order by k) as r from n)
+    select doc_id, min(k) - 1 as word_from, max(k) + 11 as word_to, count(distinct item_id) as n_items from r join m using (doc_id, k) group by doc_id, r""")
 def p9_removal_spans(spark, d):
     return leakage.removal_spans(table(spark, d, "eval_items"), table(spark, d, "documents"))
 
