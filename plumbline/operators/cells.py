@@ -105,12 +105,23 @@ def sphere_directions(n: int = 100) -> np.ndarray:
 
 
 def room_probabilities(cells: DataFrame, samples: DataFrame, disc: float = 0.35, rays: int = 100, most: int = 200_000) -> DataFrame:
-    """(cell, room, p) of cells (cell, x, y, z): the share of rays whose first disc (samples x, y, z, nx, ny, nz, room from 0, normals into the room) has that room, as room + 1; 0 is outside: no disc or one seen from behind. Samples are a
-    bounded sample of one building's surfaces, checked and held once per task."""
-    if samples.limit(most + 1).count() > most:
-        raise ValueError("too many samples for one building")
-    s = samples.select("x", "y", "z", "nx", "ny", "nz", "room").toPandas()
-    sent = samples.sparkSession.sparkContext.broadcast(s.to_numpy(float))
+    """(cell, room, p) of cells (cell, x, y, z): the share of rays whose first disc (samples x, y, z, nx, ny, nz, room from 0, normals into the room) has that room, as room + 1; 0 is outside: no disc or one seen from behind. Samples
+    are sent to every task in blocks of about `most`; the first disc of a ray is the first of those of all blocks."""
+    names = ("x", "y", "z", "nx", "ny", "nz", "room")
+    blocks = max(1, -(-samples.count() // most))
+    kind = dict(cells.dtypes)["cell"]
+    hits = None
+    for k in range(blocks):
+        part = samples if blocks == 1 else samples.where(F.pmod(F.xxhash64(*names), F.lit(blocks)) == k)
+        sent = samples.sparkSession.sparkContext.broadcast(part.select(*names).toPandas().to_numpy(float))
+        one = cells.select("cell", "x", "y", "z").mapInPandas(_first_discs(sent, disc, rays), f"cell {kind}, ray int, t double, room long")
+        hits = one if hits is None else hits.unionByName(one)
+    first = hits.groupBy("cell", "ray").agg(F.min(F.struct("t", "room")).alias("f"))
+    return first.groupBy("cell", F.col("f.room").alias("room")).agg((F.count("*") / rays).alias("p"))
+
+
+def _first_discs(sent, disc: float, rays: int):
+    """Per cell and ray the first disc: how far, and its room + 1, or 0 if it is seen from behind or there is none (infinitely far)."""
 
     def run(parts):
         p, n, room = sent.value[:, :3], sent.value[:, 3:6], sent.value[:, 6].astype(int)
@@ -128,12 +139,13 @@ def room_probabilities(cells: DataFrame, samples: DataFrame, disc: float = 0.35,
                 first = t.argmin(axis=1) if t.shape[1] else np.zeros(rays, int)
                 ok = np.isfinite(t[np.arange(rays), first]) if t.shape[1] else np.zeros(rays, bool)
                 ok &= den[np.arange(rays), first] < 0 if t.shape[1] else ok
-                ids, m = np.unique(np.where(ok, room[first] + 1 if len(room) else 0, 0), return_counts=True)
-                out += [(cell, int(i), float(x) / rays) for i, x in zip(ids, m)]
-            yield pd.DataFrame(out, columns=["cell", "room", "p"])
+                of = np.where(ok, room[first] + 1 if len(room) else 0, 0)
+                far = t[np.arange(rays), first] if t.shape[1] else np.full(rays, np.inf)
+                out.append(pd.DataFrame({"cell": cell, "ray": np.arange(rays, dtype=np.int32), "t": far, "room": of.astype(np.int64)}))
+            if out:
+                yield pd.concat(out)
 
-    kind = dict(cells.dtypes)["cell"]
-    return cells.select("cell", "x", "y", "z").mapInPandas(run, f"cell {kind}, room long, p double")
+    return run
 
 
 def label_cells(cells: pd.DataFrame, faces: pd.DataFrame, probability: dict[tuple[int, int], float], coverage: dict[int, float], rooms: int, alpha: float = 0.04, sweeps: int = 100) -> dict[int, int]:

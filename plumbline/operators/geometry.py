@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.ranking import number_rows
 from plumbline.operators.voxel import AXES, finite
 
 
@@ -66,7 +67,7 @@ def planes_of(points: DataFrame, normals: DataFrame) -> DataFrame:
     """(plane_id, a, b, c, d, x, y, z, n) from labelled points (point_idx, label, x, y, z; label 0 is none) and one normal per rank of label
     (rank from 0, a, b, c): d = -n.c."""
     g = points.where("label > 0").groupBy("label").agg(*(F.avg(F.col(a).cast("double")).alias(a) for a in AXES), F.count("*").alias("n"))
-    g = g.withColumn("rank", F.dense_rank().over(Window.orderBy("label")) - 1)  # a building's planes are few
+    g = number_rows(g, "label", name="rank", start=0)
     j = g.join(normals, "rank")
     return j.select(F.col("label").alias("plane_id"), "a", "b", "c", (-(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z"))).alias("d"), *AXES, "n")
 

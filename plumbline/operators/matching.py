@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.spatial import radius_join
 
+#: Buckets of time to a span, and spans to an age.
+BUCKETS = 1_024
+
 
 def micros(c: str | Column) -> Column:
     """A timestamp with or without zone as microseconds (the session's zone is UTC)."""
@@ -25,8 +28,18 @@ def nearest_in_time(queries: DataFrame, frames: DataFrame, bucket_s: int = 3600)
     q = queries.where("ts is not null").select("query_id", micros("ts").alias("t")).withColumn("bucket", F.floor(F.col("t") / width))
     one = F.struct("t", "node_id")
     ends = f.select("bucket", one.alias("f")).unionByName(q.select("bucket").distinct().withColumn("f", F.lit(None).cast("struct<t:bigint,node_id:bigint>"))).groupBy("bucket").agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
-    w = Window.orderBy("bucket")
-    ends = ends.select("bucket", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    # what comes before and after a bucket, first within spans of BUCKETS buckets, then over the spans (one row each, 43 days for buckets of an hour)
+    ends = ends.withColumn("span", F.floor(F.col("bucket") / BUCKETS))
+    w = Window.partitionBy("span").orderBy("bucket")
+    spans = ends.groupBy("span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    v = Window.partitionBy(F.floor(F.col("span") / BUCKETS)).orderBy("span")
+    far = spans.groupBy(F.floor(F.col("span") / BUCKETS).alias("age")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    u = Window.partitionBy(F.lit(0)).orderBy("age")  # one row per 5,000 years at buckets of an hour
+    before, after = (lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))), (lambda c, w: F.first(c, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    far = far.select("age", before("hi", u).alias("before3"), after("lo", u).alias("after3"))
+    spans = spans.select("span", F.floor(F.col("span") / BUCKETS).alias("age"), before("hi", v).alias("before2"), after("lo", v).alias("after2")).join(far, "age").drop("age")
+    ends = ends.select("span", "bucket", before("hi", w).alias("before"), after("lo", w).alias("after")).join(spans, "span")
+    ends = ends.select("bucket", F.coalesce("before", "before2", "before3").alias("before"), F.coalesce("after", "after2", "after3").alias("after"))
     both = f.select("bucket", "t", one.alias("f"), F.lit(None).cast("long").alias("query_id"), F.lit(False).alias("is_query")).unionByName(
         q.select("bucket", "t", F.lit(None).cast("struct<t:bigint,node_id:bigint>").alias("f"), F.col("query_id").cast("long").alias("query_id"), F.lit(True).alias("is_query")))
     in_ = Window.partitionBy("bucket").orderBy("t", "is_query")
@@ -41,16 +54,20 @@ def cheapest_wall(instances: DataFrame, walls: DataFrame, angle_weight: float =
     angle + distance cost within the tolerated angle, which grows from least to most with lack of flatness. Instances
     no wall suits have a null wall.
 
-    Walls are the planes of one building and are sent to every task after a check of their number; more of them make
-    a ValueError: they have to be matched building by building."""
-    if walls.limit(most_walls + 1).count() > most_walls:
-        raise ValueError("too many walls for one match; split them by building")
+    Walls are the planes of a building and are sent to every task in blocks of at most about `most_walls`, and the cheapest of all blocks is
+    taken."""
+    blocks = max(1, -(-walls.count() // most_walls))
     dot = F.abs(F.col("nx") * F.col("a") + F.col("ny") * F.col("b") + F.col("nz") * F.col("c"))
     angle = F.acos(F.least(F.lit(1.0), dot))
     far = F.abs(F.col("x") * F.col("a") + F.col("y") * F.col("b") + F.col("z") * F.col("c") + F.col("d"))
     bound = F.radians(F.lit(least_deg) + (most_deg - least_deg) * (1 - F.col("flatness")))
     cost = angle_weight * angle + distance_weight * far
-    j = instances.join(F.broadcast(walls), angle <= bound).groupBy("instance_id").agg(F.min(F.struct(cost.alias("cost"), "wall_id")).alias("m"))
+    j = None
+    for k in range(blocks):
+        part = walls if blocks == 1 else walls.where(F.pmod(F.xxhash64("wall_id"), F.lit(blocks)) == k)
+        one = instances.join(F.broadcast(part), angle <= bound).groupBy("instance_id").agg(F.min(F.struct(cost.alias("cost"), "wall_id")).alias("m"))
+        j = one if j is None else j.unionByName(one)
+    j = j.groupBy("instance_id").agg(F.min("m").alias("m"))
     return instances.select("instance_id").join(j, "instance_id", "left").select("instance_id", "m.wall_id", "m.cost")
 
 

@@ -12,22 +12,32 @@ from plumbline.operators.spatial import propagate_labels
 from plumbline.operators.voxel import uniform_sample
 from plumbline.session import stage, unstage
 
-#: Most sampled points of one cloud (each is a disc that can block a view and is sent to every task).
+#: Sampled points (each is a disc that can block a view) that are held by a task at once.
 MOST_DISCS = 50_000
 
 
 def visibility_edges(samples: DataFrame, disc: float, block: int = 64) -> DataFrame:
     """(src, dst, w) of all pairs of samples (point_idx, x, y, z, nx, ny, nz), src < dst, whose line of sight no disc of that radius around another sample
-    cuts. All pairs of a bounded sample is what is asked for; the sample is checked against MOST_DISCS, its rows are split over
-    tasks in blocks, and each block is tested against the sample held once per task."""
-    n = samples.count()
-    if n > MOST_DISCS:
-        raise ValueError(f"{n} samples; take a wider sampling grid, at most {MOST_DISCS} can be tested against each other")
+    cuts. All pairs of a sample of one building is what is asked for; its rows are split over tasks in blocks, and the discs are sent in
+    blocks of MOST_DISCS: a pair sees each other if no block cuts it."""
     s = samples.select("point_idx", "x", "y", "z", "nx", "ny", "nz").orderBy("point_idx").toPandas()
-    sent = samples.sparkSession.sparkContext.broadcast((s.point_idx.to_numpy(), s[["x", "y", "z"]].to_numpy(float), s[["nx", "ny", "nz"]].to_numpy(float)))
+    n = len(s)
+    rows = samples.sparkSession.range(0, n, 1, max(1, -(-n // block))).select(F.col("id").alias("i"))
+    out, blocks = None, range(0, max(n, 1), MOST_DISCS)
+    for a in blocks:
+        sent = samples.sparkSession.sparkContext.broadcast((s.point_idx.to_numpy(), s[["x", "y", "z"]].to_numpy(float), s[["nx", "ny", "nz"]].to_numpy(float), a))
+        one = rows.mapInPandas(_free_pairs(sent, disc), "src long, dst long, w double")
+        out = one if out is None else out.unionByName(one)
+    return out if len(blocks) == 1 else out.groupBy("src", "dst").agg(F.count("*").alias("k")).where(F.col("k") == len(blocks)).select("src", "dst", F.lit(1.0).alias("w"))
+
+
+def _free_pairs(sent, disc: float):
+    """Per sample (its position i) the later ones that no disc of a block cuts off."""
 
     def run(parts):
-        ids, p, nrm = sent.value
+        ids, p, nrm, first = sent.value
+        last = min(first + MOST_DISCS, len(ids))
+        discs, nrm = p[first:last], nrm[first:last]
         for f in parts:
             for i in f.i:
                 q = np.arange(i + 1, len(ids))
@@ -36,22 +46,23 @@ def visibility_edges(samples: DataFrame, disc: float, block: int = 64) -> DataFr
                     d = p[j] - p[i]
                     # where each sight line crosses each disc's plane
                     den = d @ nrm.T
-                    num = ((p - p[i]) * nrm).sum(axis=1)[None, :]
+                    num = ((discs - p[i]) * nrm).sum(axis=1)[None, :]
                     with np.errstate(divide="ignore", invalid="ignore"):
                         t = num / den
                     t[~np.isfinite(t)] = -1
                     between = (t > 1e-6) & (t < 1 - 1e-6)
-                    between[:, i] = False
-                    between[np.arange(len(j)), j] = False
+                    if first <= i < last:
+                        between[:, i - first] = False
+                    own = (j >= first) & (j < last)
+                    between[np.flatnonzero(own), j[own] - first] = False
                     r, k = np.nonzero(between)
-                    hit = ((p[i] + t[r, k, None] * d[r] - p[k]) ** 2).sum(axis=1) < disc * disc
+                    hit = ((p[i] + t[r, k, None] * d[r] - discs[k]) ** 2).sum(axis=1) < disc * disc
                     blocked = np.zeros(len(j), bool)
                     blocked[r[hit]] = True
                     free = j[~blocked]
                     yield pd.DataFrame({"src": ids[i], "dst": ids[free], "w": 1.0})
 
-    rows = samples.sparkSession.range(0, n, 1, max(1, -(-n // block))).select(F.col("id").alias("i"))
-    return rows.mapInPandas(run, "src long, dst long, w double")
+    return run
 
 
 def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:

@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.spatial import radius_join
+from plumbline.session import spread
 
 
 def face_groups(faces: DataFrame, near: float = 0.95) -> DataFrame:
     """(face, group) of faces (mesh, face, nx, ny, nz) in their order: a face starts a group if its normal differs from that of the group's first face. The order is part of the result, so a mesh is swept in one
-    pass; the running state is a fold over the mesh's faces."""
-    row = F.struct("face", "nx", "ny", "nz")
-    g = faces.groupBy("mesh").agg(F.array_sort(F.collect_list(row)).alias("f"))
-    none = F.lit(0.0)
-    start = F.struct(F.lit(-1).alias("g"), none.alias("nx"), none.alias("ny"), none.alias("nz"), F.array().cast("array<struct<face:bigint,g:int>>").alias("out"))
-
-    def step(s, f):
-        same = (s["g"] >= 0) & (s["nx"] * f["nx"] + s["ny"] * f["ny"] + s["nz"] * f["nz"] >= near)
-        k = F.when(same, s["g"]).otherwise(s["g"] + 1)
-        keep = lambda c: F.when(same, s[c]).otherwise(f[c].cast("double")).alias(c)
-        return F.struct(k.alias("g"), keep("nx"), keep("ny"), keep("nz"), F.array_append(s["out"], F.struct(f["face"].cast("bigint").alias("face"), k.alias("g"))).alias("out"))
-
-    return g.select("mesh", F.explode(F.aggregate("f", start, step)["out"]).alias("o")).select("mesh", "o.face", F.col("o.g").alias("group"))
+    pass that holds the group's normal only; meshes are split over tasks."""
+
+    def run(parts):
+        here, group, n = None, -1, (0.0, 0.0, 0.0)
+        for f in parts:
+            out = []
+            for mesh, x, y, z in zip(f.mesh, f.nx, f.ny, f.nz):
+                if mesh != here or group < 0:
+                    here, group, n = mesh, 0, (x, y, z)
+                elif not n[0] * x + n[1] * y + n[2] * z >= near:
+                    group, n = group + 1, (x, y, z)
+                out.append(group)
+            yield pd.DataFrame({"mesh": f.mesh, "face": f.face, "group": out})
+
+    rows = spread(faces.select("mesh", F.col("face").cast("long").alias("face"), *(F.col(c).cast("double").alias(c) for c in ("nx", "ny", "nz"))), "mesh").sortWithinPartitions("mesh", "face")
+    return rows.mapInPandas(run, f"mesh {dict(faces.dtypes)['mesh']}, face long, group int")
 
 
 def texture_size(extent: float, per_metre: float = 400.0, least: int = 256, most: int = 4096) -> int:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.ranking import number_rows
 from plumbline.operators import geometry, matching
 from plumbline.operators.components import components
 from plumbline.operators.instances import face_normals
 from plumbline.session import stage
 
-#: Triangles of one building's mesh a placement test may hold in every task.
+#: Triangles a placement test holds in every task at once.
 MOST_TRIANGLES = 500_000
 
 
@@ -108,17 +109,27 @@ def create_windows(points: DataFrame, walls: DataFrame, offset: float = 0.0, rec
         ring = F.array_distinct(F.transform("ring", lambda s: at(s["u"], s["v"])))
         spread = lambda c: F.array_max(F.transform("ring", lambda s: s[c])) - F.array_min(F.transform("ring", lambda s: s[c]))
         w = r.select("instance_id", "wall_id", ring.alias("boundary"), spread("u").alias("width"), spread("v").alias("height"))
-    windows = w.withColumn("name", F.concat(F.lit("window_"), F.row_number().over(Window.orderBy("instance_id"))))  # one row per window of a building
+    windows = number_rows(w, "instance_id").withColumn("name", F.concat(F.lit("window_"), "rn"))
     return windows.select("instance_id", "wall_id", "name", "boundary", "width", "height"), m.where("wall_id is null").select("instance_id")
 
 
 def placement(corners: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(window, placement) of outlines (window, x, y, z per corner): inside, outside or mixed, by whether rays from the corners leave the closed mesh (triangles) more often than they enter it."""
-    t = faces.select("face", F.posexplode("verts").alias("k", "v")).join(vertices, "v").groupBy("face").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))).alias("c"))
-    if t.limit(MOST_TRIANGLES + 1).count() > MOST_TRIANGLES:
-        raise ValueError("too many triangles for one building")
-    tri = np.array([[[p["x"], p["y"], p["z"]] for p in r["c"][:3]] for r in t.collect()], float).reshape(-1, 3, 3)
-    sent = corners.sparkSession.sparkContext.broadcast(tri)
+    t = stage(faces.select("face", F.posexplode("verts").alias("k", "v")).join(vertices, "v").groupBy("face").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))).alias("c")))
+    blocks = max(1, -(-t.count() // MOST_TRIANGLES))
+    kind = dict(corners.dtypes)["window"]
+    votes = None
+    for k in range(blocks):  # what a ray crosses adds up over the blocks of triangles
+        part = t if blocks == 1 else t.where(F.pmod(F.xxhash64("face"), F.lit(blocks)) == k)
+        tri = np.array([[[p["x"], p["y"], p["z"]] for p in r["c"][:3]] for r in part.collect()], float).reshape(-1, 3, 3)
+        one = corners.select("window", "x", "y", "z").mapInPandas(_crossings(corners.sparkSession.sparkContext.broadcast(tri)), f"window {kind}, x double, y double, z double, more long")
+        votes = one if votes is None else votes.unionByName(one)
+    v = votes.groupBy("window", "x", "y", "z").agg((F.sum("more") > 0).alias("inside"))
+    return v.groupBy("window").agg(F.when(F.every("inside"), "inside").when(~F.some("inside"), "outside").otherwise("mixed").alias("placement"))
+
+
+def _crossings(sent):
+    """Per corner by how many more triangles its rays leave through than enter."""
     rays = np.array([[0.57, 0.61, 0.55], [-0.61, 0.33, 0.72], [0.29, -0.84, -0.46]])
 
     def run(parts):
@@ -141,9 +152,7 @@ def placement(corners: DataFrame, vertices: DataFrame, faces: DataFrame) -> Data
                     # the normal along the ray: the face is left through its back
                     back += int((hit & (det < 0)).sum())
                     front += int((hit & (det > 0)).sum())
-                votes.append(back > front)
-            yield pd.DataFrame({"window": f.window, "inside": votes})
+                votes.append(back - front)
+            yield f.assign(more=np.array(votes, np.int64))
 
-    kind = dict(corners.dtypes)["window"]
-    v = corners.select("window", "x", "y", "z").mapInPandas(run, f"window {kind}, inside boolean")
-    return v.groupBy("window").agg(F.when(F.every("inside"), "inside").when(~F.some("inside"), "outside").otherwise("mixed").alias("placement"))
+    return run

@@ -20,13 +20,23 @@ def p1_found(spark, d):
     return hierarchy.looped(table(spark, d, "building_components"))
 
 
-@R.query("p1_paths")
+#: Every component once, loops cut at their smallest member, and the way from the root to each, as ids and names.
+_FOREST = r"""with recursive c as (select id, case when parent_id <> -1 then cast(parent_id as bigint) end as p, name, row_number() over (partition by id order by created_at desc nulls last, case when parent_id <> -1 then parent_id end desc nulls last, name desc nulls last) as rn from building_components where id is not null),
+    o as (select id, p, coalesce(replace(replace(name, '\\', '\\\\'), '/', '\\/'), '') as name from c where rn = 1), v as (select id, p from o where p in (select id from o)),
+    l as (select id, p as a from v union select l.id, v.p from l join v on v.id = l.a), cut as (select id from l group by id having bool_or(a = id) and min(a) = id),
+    t as (select id, id as root, [id] as way, name as path, p is not null and id not in (select id from v) as broken from o where id not in (select id from v) or id in (select id from cut)
+        union all select o.id, t.root, list_append(t.way, o.id), t.path || '/' || o.name, false from t join o on o.p = t.id where o.id not in (select id from cut)),
+    n as (select id, count(*) - 1 as descendants from (select unnest(way) as id from t) group by id),
+    r as (select *, row_number() over (partition by root order by way) - 1 as ord from t)"""
+
+
+@R.query("p1_paths", f"""{_FOREST} select r.id, path, len(way) - 1 as depth, root, 2 * ord - (len(way) - 1) as entry, 2 * ord - (len(way) - 1) + 2 * descendants + 1 as exit, descendants, root in (select id from cut) as looped, broken from r join n using (id)""")
 def p1_paths(spark, d):
     t = hierarchy.stage(hierarchy.tour(table(spark, d, "building_components")))
     return t.join(hierarchy.paths(t), "id").select("id", "path", "depth", "root", "entry", "exit", "descendants", "looped", "broken")
 
 
-@R.query("p1_descendants")
+@R.query("p1_descendants", f"""{_FOREST} select a as id, id as descendant, cast(len(way) - k as int) as hops from (select id, way, unnest(way) as a, generate_subscripts(way, 1) as k from t) where a <> id""")
 def p1_descendants(spark, d):
     return hierarchy.descendants(hierarchy.tour(table(spark, d, "building_components")))
 
@@ -196,6 +206,20 @@ def p7_found(spark, d):
     return eav.misfits(table(spark, d, "passport_property_values"), table(spark, d, "property_definitions"))
 
 
+@R.query("p7_cells", r"""
+    with d as (select id, leksikon_guid as g, field_name, lower(regexp_replace(type, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) as kind from property_definitions where field_name is not null),
+    k as (select key, unnest(min(d)) from (select 'i' || id as key, {'id': id, 'field_name': field_name, 'kind': kind} as d from d where id is not null union all select 'g' || g, {'id': id, 'field_name': field_name, 'kind': kind} from d where g is not null) group by key),
+    v as (select id as row_id, passport_id, recorded_at, coalesce('i' || property_id, 'g' || leksikon_guid) as key, regexp_replace(decode(value), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as x from passport_property_values where value is not null and passport_id is not null),
+    r as (select passport_id, field_name, recorded_at, row_id, x, case when kind = 'integer' then regexp_full_match(x, '[+-]?[0-9]+') when kind = 'double' then regexp_full_match(x, '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?')
+        when kind = 'boolean' then lower(x) in ('true', 'false', '1', '0') when kind = 'tristate' then lower(x) in ('yes', 'no', 'unknown') when kind in ('string_array', 'enum_array', 'object_array') then json_valid(x) and starts_with(x, '[') else true end as ok
+        from v join k using (key) where x <> ''),
+    w as (select *, row_number() over (partition by passport_id, field_name order by recorded_at desc nulls last, row_id desc nulls last, x desc, ok desc) as rn from r)
+    select passport_id, field_name, max(case when rn = 1 and ok then x end) as text, max(case when not ok then x end) as failure, count(*) as n_rows from w group by all""")
+def p7_cells(spark, d):
+    c = eav.cells(table(spark, d, "passport_property_values"), table(spark, d, "property_definitions"))
+    return c.select("passport_id", "field_name", F.when(F.col("latest.ok"), F.col("latest.text")).alias("text"), "failure", "n_rows")
+
+
 @R.query("p7_wide")
 def p7_wide(spark, d):
     w = eav.wide(table(spark, d, "passport_property_values"), table(spark, d, "property_definitions"))

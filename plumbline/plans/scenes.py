@@ -105,7 +105,11 @@ def face_coverage(spark, d):
     return cells.face_coverage(p.select(F.col("label").alias("face"), F.col("x").alias("u"), F.col("y").alias("v")), faces, 0.2).select("face", F.round("coverage", 6).alias("coverage"))
 
 
-@R.query("texture_groups")
+@R.query("texture_groups", f"""with recursive {PTS}, n as (select label as mesh, point_idx as face, x / sqrt(x*x+y*y+z*z) as nx, y / sqrt(x*x+y*y+z*z) as ny, z / sqrt(x*x+y*y+z*z) as nz, row_number() over (partition by label order by point_idx) as k from p),
+    r as (select mesh, face, k, nx, ny, nz, 0 as g from n where k = 1
+        union all select n.mesh, n.face, n.k, case when s then r.nx else n.nx end, case when s then r.ny else n.ny end, case when s then r.nz else n.nz end, case when s then g else g + 1 end
+        from r join n on n.mesh = r.mesh and n.k = r.k + 1, lateral (select r.nx*n.nx + r.ny*n.ny + r.nz*n.nz >= 0.5 as s))
+    select mesh, face, g as "group" from r""")
 def texture_groups(spark, d):
     n = _with_normals(points(spark, d)).select(F.col("label").alias("mesh"), F.col("point_idx").alias("face"), "nx", "ny", "nz")
     return texture.face_groups(n, 0.5)

@@ -25,9 +25,12 @@ def build_session(master: str = "local[*]", app: str = "plumbline", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
+    """The folder every executor can reach: `spark.checkpoint.dir`, or a local one where it is unset and everything runs on one
+    machine (tests). ValueError on a cluster without one, as files in local folders would be lost to other executors."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

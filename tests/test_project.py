@@ -1,3 +1,4 @@
+import datetime as dt
 import io
 import json
 import math
@@ -196,6 +197,44 @@ def test_coverage_and_rays(spark):
     assert got == {(1, 1): 1.0, (2, 0): 1.0}
 
 
+def test_blocks_give_the_same_as_one(spark, monkeypatch):
+    """Discs, samples, triangles and walls sent in several blocks."""
+    from plumbline.operators import matching
+    from tests.test_points import mesh
+
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(i, *map(float, rng.uniform(0, 3, 3)), *map(float, n / np.linalg.norm(n)), int(i % 3)) for i, n in enumerate(rng.normal(size=(60, 3)))], "point_idx long, x double, y double, z double, nx double, ny double, nz double, room int")
+    c = spark.createDataFrame([(k, *map(float, rng.uniform(0, 3, 3))) for k in range(4)], "cell int, x double, y double, z double")
+    v, f = mesh(spark)
+    w = spark.createDataFrame([(k, *map(float, n / np.linalg.norm(n)), 0.1) for k, n in enumerate(rng.normal(size=(20, 3)))], "wall_id long, a double, b double, c double, d double")
+    corners = spark.createDataFrame([("w", float(x), 1.0, 1.0) for x in (1, 9)], "window string, x double, y double, z double")
+    i = d.withColumnRenamed("point_idx", "instance_id").withColumn("flatness", F.lit(0.5))
+
+    def all_():
+        near = cells.room_probabilities(c, d, 0.5, most=7 if small else 200_000)
+        wall = matching.cheapest_wall(i, w, most_walls=3 if small else 100_000)
+        return [rows(x) for x in (rooms.visibility_edges(d, 0.4).orderBy("src", "dst"), near.orderBy("cell", "room"), windows.placement(corners, v, f), wall.orderBy("instance_id"))]
+
+    small = False
+    want = all_()
+    assert 100 < len(want[0]) < 60 * 59 / 2
+    small = True
+    monkeypatch.setattr(rooms, "MOST_DISCS", 11)
+    monkeypatch.setattr(windows, "MOST_TRIANGLES", 5)
+    assert all_() == want
+
+
+def test_nearest_in_time_over_gaps(spark):
+    from plumbline.operators import matching
+
+    rng = np.random.default_rng(6)
+    at = lambda s: dt.datetime(1990, 1, 1) + dt.timedelta(seconds=int(s))
+    f = sorted(set(rng.integers(0, 10**9, 40).tolist()))
+    q = rng.integers(-(10**8), 11 * 10**8, 60).tolist()
+    got = {r["query_id"]: r["node_id"] for r in matching.nearest_in_time(spark.createDataFrame([(i, at(s)) for i, s in enumerate(q)], "query_id long, ts timestamp"), spark.createDataFrame([(i, at(s)) for i, s in enumerate(f)], "node_id long, ts timestamp")).collect()}
+    assert got == {i: min(range(len(f)), key=lambda k: (abs(f[k] - s), k)) for i, s in enumerate(q)}
+
+
 def test_window_on_a_wall(spark):
     rng = np.random.default_rng(3)
     p = np.c_[0.02 * rng.normal(size=200), 1 + 1.2 * rng.uniform(size=200), 1 + 1.5 * rng.uniform(size=200)]
