@@ -22,7 +22,7 @@ def p1_found(spark, d):
 
 #: Every component once, loops cut at their smallest member, and the way from the root to each, as ids and names.
 _FOREST = r"""with recursive c as (select id, case when parent_id <> -1 then cast(parent_id as bigint) end as p, name, row_number() over (partition by id order by created_at desc nulls last, case when parent_id <> -1 then parent_id end desc nulls last, name desc nulls last) as rn from building_components where id is not null),
-    o as (select id, p, coalesce(replace(replace(name, '\\', '\\\\'), '/', '\\/'), '') as name from c where rn = 1), v as (select id, p from o where p in (select id from o)),
+    o as (select id, p, coalesce(replace(replace(name, '\', '\\'), '/', '\/'), '') as name from c where rn = 1), v as (select id, p from o where p in (select id from o)),
     l as (select id, p as a from v union select l.id, v.p from l join v on v.id = l.a), cut as (select id from l group by id having bool_or(a = id) and min(a) = id),
     t as (select id, id as root, [id] as way, name as path, p is not null and id not in (select id from v) as broken from o where id not in (select id from v) or id in (select id from cut)
         union all select o.id, t.root, list_append(t.way, o.id), t.path || '/' || o.name, false from t join o on o.p = t.id where o.id not in (select id from cut)),
