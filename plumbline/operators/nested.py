@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.jsontext import clean, parse, scalar_text
-from plumbline.session import stage  # noqa: F401
+from plumbline.session import stage
 
 #: Keys whose value is a list even if it stands there as a lone object.
 LISTS = ("properties",)
@@ -89,29 +89,31 @@ def _list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _item(level, path, parent, key, ordinal, v: Column) -> Column:
+def _item(level, path, parent, key, ordinal, obj: Column, list_: Column) -> Column:
     """A container; `obj` or `list` is null."""
-    return F.struct(level.alias("level"), path.alias("path"), parent.alias("parent"), key.alias("key"), ordinal.cast("int").alias("ordinal"), _object(v).alias("obj"), _list(v).alias("list"))
+    return F.struct(level.alias("level"), path.alias("path"), parent.alias("parent"), key.alias("key"), ordinal.cast("int").alias("ordinal"), obj.alias("obj"), list_.alias("list"))
 
 
 def _below(item: Column, lists: tuple[str, ...]) -> Column:
-    """The containers of a container."""
+    """The containers of a container. What is no container is dropped before anything else is worked out for it."""
     dot = F.when(item["path"] == "", "").otherwise(".")
     none = F.lit("")
+    held = lambda k, v: F.struct(k.alias("k"), _object(v).alias("obj"), _list(v).alias("list"))
+    only = lambda xs: F.filter(xs, lambda x: x["obj"].isNotNull() | x["list"].isNotNull())
 
-    def field(e: Column) -> Column:
-        lone = e["key"].isin(*lists) & _object(e["value"]).isNotNull()
-        more = lambda c, end: F.concat(item[c], dot, e["key"], F.when(lone, end).otherwise(none))
-        key = F.when(lone | _list(e["value"]).isNotNull(), e["key"]).otherwise(none)
-        return _item(more("level", F.lit("[]")), more("path", F.lit("[0]")), item["path"], key, F.lit(0), e["value"])
+    def field(x: Column) -> Column:
+        lone = x["k"].isin(*lists) & x["obj"].isNotNull()
+        more = lambda c, end: F.concat(item[c], dot, x["k"], F.when(lone, end).otherwise(none))
+        key = F.when(lone | x["list"].isNotNull(), x["k"]).otherwise(none)
+        return _item(more("level", F.lit("[]")), more("path", F.lit("[0]")), item["path"], key, F.lit(0), x["obj"], x["list"])
 
-    def entry(v: Column, i: Column) -> Column:
+    def entry(x: Column) -> Column:
         # an inner list's objects stand in that list, not in the one around it
-        key = F.when(_object(v).isNotNull(), item["key"]).otherwise(none)
-        return _item(F.concat(item["level"], F.lit("[]")), F.concat(item["path"], F.lit("["), i.cast("string"), F.lit("]")), item["parent"], key, i, v)
+        key = F.when(x["obj"].isNotNull(), item["key"]).otherwise(none)
+        return _item(F.concat(item["level"], F.lit("[]")), F.concat(item["path"], F.lit("["), x["k"].cast("string"), F.lit("]")), item["parent"], key, x["k"], x["obj"], x["list"])
 
-    fields = F.coalesce(F.transform(F.map_entries(item["obj"]), field), F.transform(F.coalesce(item["list"], F.array().cast("array<variant>")), entry))
-    return F.filter(fields, lambda x: x["obj"].isNotNull() | x["list"].isNotNull())
+    fields = F.transform(only(F.transform(F.map_entries(item["obj"]), lambda e: held(e["key"], e["value"]))), field)
+    return F.coalesce(fields, F.transform(only(F.transform(F.coalesce(item["list"], F.array().cast("array<variant>")), lambda v, i: held(i, v))), entry))
 
 
 def _row(item: Column, attributes: bool) -> Column:
@@ -126,15 +128,17 @@ def _row(item: Column, attributes: bool) -> Column:
 
 def nodes(records: DataFrame, lists: tuple[str, ...] = LISTS, attributes: bool = True) -> DataFrame:
     """All nodes of all valid bodies, one row each."""
-    docs = _docs(records)
-    levels = docs.where("doc is not null").select("record_id", "body", F.array(_item(F.lit(""), F.lit(""), F.lit(None).cast("string"), F.lit(""), F.lit(0), F.col("doc"))).alias("c0"))
+    doc = F.col("doc")
+    top = _item(F.lit(""), F.lit(""), F.lit(None).cast("string"), F.lit(""), F.lit(0), _object(doc), _list(doc))
+    levels = _docs(records).select("record_id", "body", F.filter(F.array(top), lambda x: x["obj"].isNotNull() | x["list"].isNotNull()).alias("c0"), doc.isNull().alias("unread"))
     for d in range(1, STEPS + 1):  # one projection a level, so that each is worked out once
         levels = levels.withColumn(f"c{d}", F.flatten(F.transform(f"c{d - 1}", lambda x: _below(x, lists))))
     rows = [F.transform(F.filter(f"c{d}", lambda x: x["obj"].isNotNull()), lambda x: _row(x, attributes)) for d in range(STEPS)]
-    deep = F.size(f"c{STEPS}") > 0
-    shallow = levels.select("record_id", F.explode(F.when(~deep, F.concat(*rows))).alias("n")).select("record_id", "n.*")
-    rest = docs.where("doc is null").select("record_id", "body").unionByName(levels.where(deep).select("record_id", "body"))
-    walked = rest.mapInArrow(_walker(lists, attributes), NODES)
+    walk_ = F.col("unread") | (F.size(f"c{STEPS}") > 0)
+    # written once, so that neither part has the other's work done again
+    done = stage(levels.select("record_id", F.when(~walk_, F.concat(*rows)).alias("n"), F.when(walk_, F.col("body")).alias("body")))
+    shallow = done.select("record_id", F.explode("n").alias("n")).select("record_id", "n.*")
+    walked = done.where("body is not null").select("record_id", "body").mapInArrow(_walker(lists, attributes), NODES)
     return shallow.unionByName(walked if attributes else walked.drop("attributes"))
 
 
