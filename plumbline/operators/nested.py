@@ -23,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,13 +73,14 @@ def _attributes(node: dict) -> list[tuple[str, str]]:
 
 def _docs(records: DataFrame) -> DataFrame:
     """(record_id, body, doc) of the different bodies; `doc` is null where the variant parser doesn't take a body. It
-    leaves text behind the first value unread, so bodies are parsed inside a list and inside an object: what ends the one early doesn't end the other."""
+    leaves text behind the first value unread, so a body is parsed as a field of an object with a last field of random name, which
+    is only read if the body is one value and nothing else."""
     bodies = records.select(F.col("record_id").cast("long").alias("record_id"), "body").where("body is not null").distinct()
     half = F.col("body").rlike(r"\\u[dD][89a-fA-F]")
-    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]"))), "$", "array<variant>")
-    inside = F.try_parse_json(F.concat(F.lit('{"a":'), "body", F.lit(',"b":0}')))
-    whole = ~half & (F.size(listed) == 1) & (F.try_variant_get(inside, "$.b", "int") == 0)
-    return bodies.withColumn("doc", F.when(whole, F.try_variant_get(inside, "$.a", "variant")))
+    last = uuid.uuid4().hex
+    inside = F.try_parse_json(F.concat(F.lit('{"a":'), "body", F.lit(f',"{last}":0}}')))
+    parsed = bodies.withColumn("v", F.when(~half, inside))
+    return parsed.select("record_id", "body", F.when(F.try_variant_get("v", f"$.{last}", "int") == 0, F.try_variant_get("v", "$.a", "variant")).alias("doc"))
 
 
 def _object(v: Column) -> Column:
