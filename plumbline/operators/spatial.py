@@ -6,6 +6,8 @@ exact distance is the last predicate.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,26 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, keep_a: tuple[str, ..
     return j.select("a.a", "b.b", "d2", *(F.col(f"a.{k}") for k in (*keep_a, *on)), *(F.col(f"b.{k}") for k in keep_b))
 
 
+def _cell_for(points: DataFrame, size: float, want: float) -> float:
+    """A side of cells of which a point's own holds about `want` points, from how many it holds at a first guess and at half of it: points
+    of surfaces fill far fewer cells than those of a volume."""
+
+    def met(s: float) -> float:
+        c = _cells(points, s).groupBy("cx", "cy", "cz").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("s2"), F.sum("n").alias("s1")).first()
+        return c["s2"] / c["s1"]
+
+    for _ in range(3):
+        one, half = met(size), met(size / 2)
+        if want / 1.5 <= one <= want * 1.5 or one <= 1.0:
+            break
+        power = min(3.0, max(1.0, math.log2(max(one / half, 1.01))))
+        step = min(8.0, max(1 / 8, (want / one) ** (1 / power)))
+        size *= step
+        if 0.8 < step < 1.25:
+            break
+    return size
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, keep: tuple[str, ...] = (), others: bool = True, side: float | None = None) -> DataFrame:
     """(a, b, d2, rank, keep...): the k nearest points of each query point (fewer if there are fewer), by distance, then index;
     with `others` a point is not its own neighbour.
@@ -58,7 +80,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, keep: tuple[str, ...] = (
     volume = 1.0
     for s in spans:
         volume *= max(s, whole * 1e-3)
-    size = side or max((volume * (k + 1) / box["n"]) ** (1 / 3), whole * 1e-6)
+    size = side or _cell_for(p, max((volume * (k + 1) / box["n"]) ** (1 / 3), whole * 1e-6), 0.6 * k + 0.5)
     found, last = [], False
     w = Window.partitionBy("a").orderBy("d2", "b")
     while True:
