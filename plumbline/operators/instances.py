@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ranking import number_rows
 from plumbline.operators.components import components
+from plumbline.operators.spatial import kept
 from plumbline.operators.voxel import AXES, finite
 from plumbline.session import stage
 
@@ -32,11 +33,11 @@ def instances(points: DataFrame, tolerance: float = 0.5, least: int = 50, most:
     around = cells.select("label", F.col("cell").alias("from"), "cx", "cy", "cz")
     for a in AXES:
         around = around.withColumn("d", F.explode(reach)).withColumn(f"c{a}", F.col(f"c{a}") + F.col("d")).drop("d")
-    pairs = around.join(cells, ["label", "cx", "cy", "cz"]).where(F.col("from") < F.col("cell")).select(F.col("from").alias("a"), F.col("cell").alias("b"))
+    pairs = kept(around, "label", "cx", "cy", "cz").join(kept(cells, "label", "cx", "cy", "cz"), ["label", "cx", "cy", "cz"]).where(F.col("from") < F.col("cell")).select(F.col("from").alias("a"), F.col("cell").alias("b"))
     left = p.select(F.col("cell").alias("a"), *(F.col(x).alias(f"a{x}") for x in AXES))
     right = p.select(F.col("cell").alias("b"), *(F.col(x).alias(f"b{x}") for x in AXES))
     d2 = sum((F.col(f"a{x}") - F.col(f"b{x}")) * (F.col(f"a{x}") - F.col(f"b{x}")) for x in AXES)
-    links = pairs.join(left, "a").join(right, "b").where(d2 <= tolerance * tolerance).select("a", "b").distinct()
+    links = kept(kept(pairs, "a").join(kept(left, "a"), "a"), "b").join(kept(right, "b"), "b").where(d2 <= tolerance * tolerance).select("a", "b").distinct()
     of = components(links).select(F.col("node").alias("cell"), "component")
     p = stage(p.join(of, "cell", "left").select("point_idx", "label", F.coalesce("component", "cell").alias("component")))
     sizes = p.groupBy("label", "component").agg(F.count("*").alias("n"), F.min("point_idx").alias("first")).where((F.col("n") >= least) & (F.col("n") <= most))

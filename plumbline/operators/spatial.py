@@ -27,6 +27,15 @@ def _around(points: DataFrame) -> DataFrame:
     return out
 
 
+CELL = ("cx", "cy", "cz")
+
+
+def kept(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` by columns in as many partitions as a shuffle of this session makes. Adaptive execution merges partitions by their bytes, and a
+    neighbourhood join makes many pairs of few bytes; a number keeps it from that, and the join or window reuses the partitioning."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _xyz(points: DataFrame, side: str, *keep: str) -> DataFrame:
     return points.where(finite(*AXES)).select(F.col("point_idx").alias(side), *keep, *(F.col(a).cast("double").alias(a) for a in AXES))
 
@@ -37,8 +46,8 @@ def squared_distance() -> Column:
 
 def radius_join(a: DataFrame, b: DataFrame, radius: float, keep_a: tuple[str, ...] = (), keep_b: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, d2, ...) of all pairs within the radius, also of a point with itself; `on` are further columns to agree on."""
-    left = _around(_cells(_xyz(a, "a", *keep_a, *on), radius)).alias("a")
-    right = _cells(_xyz(b, "b", *keep_b, *on), radius).alias("b")
+    left = kept(_around(_cells(_xyz(a, "a", *keep_a, *on), radius)), *on, *CELL).alias("a")
+    right = kept(_cells(_xyz(b, "b", *keep_b, *on), radius), *on, *CELL).alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*on, "cx", "cy", "cz")]
     j = left.join(right, same).withColumn("d2", squared_distance()).where(F.col("d2") <= radius * radius)
     return j.select("a.a", "b.b", "d2", *(F.col(f"a.{k}") for k in (*keep_a, *on)), *(F.col(f"b.{k}") for k in keep_b))
@@ -85,11 +94,11 @@ def knn(queries: DataFrame, points: DataFrame, k: int, keep: tuple[str, ...] = (
     w = Window.partitionBy("a").orderBy("d2", "b")
     while True:
         last = size > whole
-        left, right = _around(_cells(q, size)).alias("a"), _cells(p, size).alias("b")
+        left, right = kept(_around(_cells(q, size)), *CELL).alias("a"), kept(_cells(p, size), *CELL).alias("b")
         j = left.join(right, [F.col(f"a.c{x}") == F.col(f"b.c{x}") for x in AXES]).withColumn("d2", squared_distance())
         if others:
             j = j.where(F.col("a.a") != F.col("b.b"))
-        top = j.select("a.a", "b.b", "d2", *(F.col(f"b.{c}") for c in keep)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        top = kept(j.select("a.a", "b.b", "d2", *(F.col(f"b.{c}") for c in keep)), "a").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         if last:
             found.append(top)
             break
